@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bpe, exact_dedup, retrieval_packing, simhash
+from . import best_fit_packing, bpe, exact_dedup, language, quality, retrieval_packing, simhash
 from .common import read_table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing.pack_by_retrieval(read_table(spark, sf_dir, "documents"), VOCABULARY).drop("ids")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.digests(best_fit_packing.pack_best_fit(read_table(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -30,13 +34,17 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_retrieval_packing, op4_best_fit_packing, op6_bpe_round_trip, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_retrieval_packing, op3_quality, op4_best_fit_packing, op6_bpe_round_trip, op7_language, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
