@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bpe, exact_dedup, language, quality, retrieval_packing, simhash
+from . import best_fit_packing, bpe, exact_dedup, html_text, language, license_scan, metric_search, quality, retrieval_packing, simhash
 from .common import read_table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.digests(best_fit_packing.pack_best_fit(read_table(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -38,14 +42,22 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read_table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op9_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_retrieval_packing, op3_quality, op4_best_fit_packing, op6_bpe_round_trip, op7_language, op10_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_retrieval_packing, op3_quality, op4_best_fit_packing, op5_html_text, op6_bpe_round_trip, op7_language, op8_license_scan, op9_metric_search, op10_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_metric_search": metric_search.ORACLE}
