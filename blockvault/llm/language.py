@@ -158,7 +158,8 @@ def _temperature(logits: np.ndarray, answers: np.ndarray) -> float:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on about ``fit_rows`` rows of each language at most, chosen by a hash of the id among the rows that may
-    be learned from.  Rows with a null language or id, or without a letter, are passed over."""
+    be learned from.  Rows with a null language or id, or without a letter, are passed over; of rows
+    that repeat an id the least counts."""
     small_batches(docs.sparkSession)
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).filter(~held_out(id_col))
     sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}  # a row for each language
@@ -175,6 +176,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["h", "lang", "ids", "tf"])
 
     rows = usable.filter(wanted).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.groupBy("h").agg(F.min(F.struct("lang", "text")).alias("row")).select("h", "row.lang", "row.text")
     found = rows.mapInArrow(run, "h long, lang string, ids binary, tf binary").collect()
     # Always in the same order, whatever the partitions.
     found.sort(key=lambda r: (r["h"], r["lang"], bytes(r["ids"])))
@@ -185,15 +187,16 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", carry: Sequence
     """The columns named in ``carry``, lang_pred and score of each row; with ``least``, only rows whose language
     is known with at least that score.  A null text, or one without a letter, is ``und`` with score 0."""
     small_batches(df.sparkSession)
-    rows = df.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    at = carry.index(text_col) if text_col in carry else len(carry)
+    rows = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate([*carry, text_col][: max(len(carry), at + 1)])])
     schema = T.StructType(
         [*[T.StructField(f"_c{i}", rows.schema[f"_c{i}"].dataType) for i in range(len(carry))], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = model.predict(batch.column(0).to_pylist())
-            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
+            names, scores = model.predict(batch.column(at).to_pylist())
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
             yield out if least is None else out.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, scores, strict=True)], pa.bool_()))
 
     done = rows.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from .common import small_batches
 
 #: Rows of a tree and of a block of queries, on average; entries of a page.
 TREE_ROWS, BLOCK_ROWS = 8192, 1024
-LEAF, FAN = 64, 16
+LEAF, FAN = 256, 32
 #: Beyond this, products of doubles might not be exact integers.
 EXACT = 1 << 53
 
@@ -59,69 +59,85 @@ def _fit(x: np.ndarray, width: int) -> np.ndarray:
 class MTree:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        f = self.x.astype(np.float64)
+        ids, x = ids[order], x[order]
+        f = x.astype(np.float64)
         norms = (f * f).sum(axis=1)
         self.most = float(norms.max(initial=0.0))
-        self.largest = int(np.abs(self.x).max(initial=0))
+        self.largest = int(np.abs(x).max(initial=0))
         points = np.column_stack([f, np.sqrt(np.maximum(self.most - norms, 0))])
+        # A page: (begin, end) of its rows if it is a leaf, else the rows of its routing objects; distances of its
+        # entries to the page's own routing object; radii and pages of its children, if any.
         self.pages: list[tuple] = []
-        self.root = self._build(points, np.arange(len(self.ids)), None)
+        self.order: list[np.ndarray] = []
+        self.placed = 0
+        self.root = self._build(points, np.arange(len(ids)), None)
+        place = np.concatenate(self.order) if self.order else np.zeros(0, np.int64)
         lean = np.int16 if self.largest < 1 << 15 else np.int32 if self.largest < 1 << 31 else np.int64
-        self.x = self.x.astype(lean)
+        self.ids, self.x = ids[place], x[place].astype(lean)  # the rows of a leaf lie together
+        self.pages = [(rows, x[rows].astype(lean) if children else None, *rest, children) for rows, *rest, children in self.pages]
+        del self.order
 
     def _build(self, points: np.ndarray, members: np.ndarray, parent: np.ndarray | None) -> int:
-        """Adds the page of these members; distances of its entries are to ``parent``."""
+        """Adds the page of these members, after its children's."""
         to_parent = lambda p: np.zeros(len(p)) if parent is None else np.sqrt(((p - parent) ** 2).sum(axis=1))
         if len(members) <= LEAF:
-            self.pages.append((True, members, to_parent(points[members]), None, None))
+            self.order.append(members)
+            self.pages.append(((self.placed, self.placed + len(members)), to_parent(points[members]), None, None))
+            self.placed += len(members)
             return len(self.pages) - 1
-        pivots = members[np.linspace(0, len(members) - 1, FAN).astype(int)]
+        fan = min(FAN, math.ceil(len(members) / LEAF) + 1)
+        pivots = members[np.linspace(0, len(members) - 1, fan).astype(int)]
         p = points[pivots]
-        near = ((points[members] ** 2).sum(axis=1)[:, None] - 2 * points[members] @ p.T + (p * p).sum(axis=1)).argmin(axis=1)
-        parts = [(k, members[near == k]) for k in range(FAN)]
+        near = (-2 * points[members] @ p.T + (p * p).sum(axis=1)).argmin(axis=1)
+        parts = [(k, members[near == k]) for k in range(fan)]
         if max(len(m) for _, m in parts) == len(members):  # they all are alike
-            parts = list(enumerate(np.array_split(members, FAN)))
+            parts = list(enumerate(np.array_split(members, fan)))
         routing, radii, children = [], [], []
         for k, m in parts:
             if len(m):
                 routing.append(pivots[k])
                 radii.append(math.sqrt(((points[m] - points[pivots[k]]) ** 2).sum(axis=1).max()))
                 children.append(self._build(points, m, points[pivots[k]]))
-        self.pages.append((False, np.array(routing), to_parent(points[routing]), np.array(radii), children))
+        self.pages.append((np.array(routing), to_parent(points[routing]), np.array(radii), children))
         return len(self.pages) - 1
 
+    def prepare(self) -> None:
+        """Doubles beside the integers, for as long as searches last."""
+        self.doubles = self.x.astype(np.float64)
+        self.routing = [None if r is None else r.astype(np.float64) for _, r, *_ in self.pages]
+
     def search(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id, of all rows but the query's own; computed counts distances."""
+        """The k best (score, id), ties to the smaller id, of all rows but the query's own."""
         q = _fit(q[None, :], self.x.shape[1])[0]
-        big = max(self.largest, 1) * int(np.abs(q).max(initial=0)) * max(len(q), 1)
-        dot = (lambda rows: (self.x[rows].astype(np.float64) @ q.astype(np.float64)).astype(np.int64).tolist()) if big < EXACT else (lambda rows: [sum(map(int.__mul__, r, q.tolist())) for r in self.x[rows].tolist()])
-        base = float((q.astype(np.float64) ** 2).sum()) + self.most
+        f = q.astype(np.float64)
+        exact = max(self.largest, 1) * int(np.abs(q).max(initial=0)) * max(len(q), 1) < EXACT
+        base = float((f * f).sum()) + self.most
         slack = 1e-7 * math.sqrt(base + 1) + 1e-6
         best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst first
         bound = math.inf
-        heap: list[tuple[float, float, int]] = [(0.0, 0.0, self.root)]
+        heap: list[tuple[float, float, int]] = [(0.0, math.nan, self.root)]
         self.computed = 0
-        top = True
         while heap:
             least, from_parent, page = heapq.heappop(heap)
             if least > bound:
                 break
-            leaf, rows, to_parent, radii, children = self.pages[page]
-            if not len(rows):
-                continue
+            rows, _, to_parent, radii, children = self.pages[page]
             # |d(q, parent) - d(entry, parent)| - radius is a lower bound that needs no new distance.
-            may = np.arange(len(rows)) if top else np.flatnonzero(np.abs(from_parent - to_parent) - (0 if leaf else radii) <= bound)
-            top = False
+            floor = np.abs(from_parent - to_parent) - (0 if children is None else radii)
+            may = np.flatnonzero(~(floor > bound))
             if not len(may):
                 continue
-            scores = dot(rows[may])
             self.computed += len(may)
-            if leaf:
-                for score, row in zip(scores, rows[may].tolist(), strict=True):
-                    entry = (score, -int(self.ids[row]))
-                    if -entry[1] == own:
-                        continue
+            if children is None:
+                begin, end = rows
+                part = slice(begin, end) if 2 * len(may) > end - begin else begin + may
+                scores = self.doubles[part] @ f if exact else np.array([sum(map(int.__mul__, r, q.tolist())) for r in self.x[part].tolist()], object)
+                others = self.ids[part] != own
+                scores, ids = scores[others], self.ids[part][others]
+                least = best[0][0] if len(best) == k else np.sort(scores)[-k] if len(scores) > k else -math.inf
+                hit = np.flatnonzero(scores >= least)
+                for score, i in zip(scores[hit].tolist(), ids[hit].tolist(), strict=True):
+                    entry = (int(score), -i)
                     if len(best) < k:
                         heapq.heappush(best, entry)
                     elif entry > best[0]:
@@ -129,10 +145,10 @@ class MTree:
                 if len(best) == k:
                     bound = math.sqrt(max(base - 2 * best[0][0], 0.0)) + slack
             else:
-                distances = np.sqrt(np.maximum(base - 2 * np.array(scores, np.float64), 0))
-                floors = distances - radii[may] - slack
+                distances = np.sqrt(np.maximum(base - 2 * (self.routing[page][may] @ f), 0))
+                floors = np.maximum(distances - radii[may] - slack, 0)
                 for j in np.flatnonzero(floors <= bound).tolist():
-                    heapq.heappush(heap, (max(float(floors[j]), 0.0), float(distances[j]), children[may[j]]))
+                    heapq.heappush(heap, (float(floors[j]), float(distances[j]), children[may[j]]))
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
@@ -170,6 +186,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", v
         for batch in batches:
             for page, block in zip(batch.column("page"), batch.column("asked"), strict=True):
                 tree = pickle.loads(page.as_py())
+                tree.prepare()
                 ids, vectors = pickle.loads(block.as_py())
                 found = [(q, i, s) for q, v in zip(ids, vectors, strict=True) for s, i in tree.search(q, v, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "id", "score"])

@@ -124,7 +124,7 @@ def _features(rows: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Discriminant:
     """Fit on about ``fit_rows`` labelled rows at most: those with the least hashes of their ids, of the rows that
     may be learned from.  Null labels, null ids and labels without a document are passed over; of several labels
-    of an id the smallest counts."""
+    or texts of an id the smallest counts."""
     small_batches(docs.sparkSession)
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).filter(~held_out(id_col))
     usable = usable.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
@@ -132,6 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < math.ceil(rate * 1_000_000))
     # About fit_rows rows of an id and a number at most: small whatever the size of the input.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    texts = texts.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
     found = _features(texts.select("_label", "_text")).collect()
     x = np.array([r["x"] for r in found], float).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r["label"] for r in found], int))
@@ -143,14 +144,16 @@ def score(df: DataFrame, model: Discriminant, text_col: str = "text", carry: Seq
     A null or empty text is scored as a text without words.  One pass, no shuffle.
     """
     small_batches(df.sparkSession)
-    rows = df.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    at = carry.index(text_col) if text_col in carry else len(carry)
+    rows = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate([*carry, text_col][: max(len(carry), at + 1)])])
     schema = T.StructType([*[T.StructField(f"_c{i}", rows.schema[f"_c{i}"].dataType) for i in range(len(carry))], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(0).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
-            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.score(x))], schema.names)
-            yield out if least is None else out.filter(pa.array(model.score(x) >= least))
+            x = np.array([statistics(t) for t in batch.column(at).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
+            scores = model.score(x)
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(scores)], schema.names)
+            yield out if least is None else out.filter(pa.array(scores >= least))
 
     done = rows.mapInArrow(run, schema)
     return done.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "score")
