@@ -1,36 +1,14 @@
-"""The registered queries of the engine, by name, and the same in DuckDB SQL."""
+"""All registered queries of the engine; importing the plans registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import registry
+from .plans import catalog, chunks, codecs, content, intervals, names, trees, verification  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL if there is any."""
-
-    def register(function: Query) -> Query:
-        _QUERIES[function.__name__] = function
-        if sql:
-            _ORACLES[function.__name__] = sql
-        return function
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dict(registry.ORACLES)
