@@ -19,7 +19,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval_packing.pack_by_retrieval(read_table(spark, sf_dir, "documents"), VOCABULARY).drop("ids")
+    return retrieval_packing.pack_by_retrieval(read_table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,20 +35,26 @@ class Index:
     def __init__(self, docs: Sequence[np.ndarray]):
         n = len(docs)
         sizes = np.array([len(x) for x in docs], np.int64)
-        owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
-        tokens = np.concatenate(docs).astype(np.int64) if n else np.zeros(0, np.int64)
-        keys, tf = np.unique(tokens * max(n, 1) + owner, return_counts=True)
-        token, doc = np.divmod(keys, max(n, 1))
-        self.terms, first, df = np.unique(token, return_index=True, return_counts=True)
+        owner = np.repeat(np.arange(n, dtype=np.uint32), sizes)
+        tokens = np.concatenate(docs) if n else np.zeros(0, np.uint32)
+        keys = np.sort((tokens * np.uint32(n) + owner) if n << 16 < 1 << 32 else tokens.astype(np.uint64) * np.uint64(n) + owner)
+        begins = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))
+        tf = np.diff(begins, append=len(keys))
+        token, doc = np.divmod(keys[begins], np.uint32(max(n, 1)))
+        doc = doc.astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[len(token) > 0], token[1:] != token[:-1]]))
+        df = np.diff(first, append=len(token))
         # As usual, a token of more than half the documents tells nothing and weighs nothing.
         idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0.0)
         length = K1 * (1 - B + B * sizes / max(sizes.mean(), 1e-9)) if n else sizes
         weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + length[doc])
-        useful = idf > 0
-        self.first, self.df = first, np.where(useful, df, 0)
+        self.first, self.df = first, df
         self.doc, self.weight, self.n = doc, weight, n
-        by_doc = np.argsort(doc, kind="stable")
-        self.term_of = np.repeat(np.arange(len(df)), df)[by_doc]  # the terms of each document in turn
+        # The terms of each document in turn, those that tell something.
+        term = np.repeat(np.arange(len(df)), df)
+        useful = np.flatnonzero(idf[term] > 0)
+        by_doc = useful[np.argsort(doc[useful].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]
+        self.term_of = term[by_doc]
         self.limits = np.searchsorted(doc[by_doc], np.arange(n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
@@ -126,9 +132,10 @@ def pack_shard(ids: Sequence[object], docs: Sequence[np.ndarray], windows: Windo
                 break
 
 
-def pack_by_retrieval(df: DataFrame, vocabulary: str, width: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit), ids_crc32, doc_tokens,
-    sequence_id and offset.  Each token of each row of ``df`` lies in exactly one piece.
+def pack_by_retrieval(df: DataFrame, vocabulary: str, width: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, ids (binary).
+
+    Ids are little-endian unsigned 32-bit numbers.  Each token of each row of ``df`` lies in exactly one piece.
 
     A document's ids end with ``end_id``, so that a null or empty text gives one piece of one id.  Every
     sequence has ``width`` ids but the last few of a partition, whose lengths are powers of two.  Rows that
@@ -151,8 +158,10 @@ def pack_by_retrieval(df: DataFrame, vocabulary: str, width: int = 4096, end_id:
         def out() -> Iterator[pa.RecordBatch]:
             done, windows.done = windows.done, []
             if done:
-                raw = [x[3][x[1] : x[1] + x[2]].tobytes() for x in done]
-                columns = [[x[0] for x in done], [x[1] for x in done], [x[2] for x in done], raw, [zlib.crc32(x) for x in raw], [len(x[3]) for x in done], [x[4] for x in done], [x[5] for x in done]]
+                raw = [x[3][x[1] : x[1] + x[2]] for x in done]
+                columns = [[x[0] for x in done], [x[1] for x in done], [x[2] for x in done], [zlib.crc32(x) for x in raw], [len(x[3]) for x in done], [x[4] for x in done], [x[5] for x in done]]
+                if with_ids:
+                    columns.append([x.tobytes() for x in raw])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names)
 
         for batch in batches:
@@ -168,7 +177,7 @@ def pack_by_retrieval(df: DataFrame, vocabulary: str, width: int = 4096, end_id:
         windows.close()
         yield from out()
 
-    schema = T.StructType([dealt.schema["_id"], *T.StructType.fromDDL("start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long").fields])
+    schema = T.StructType([dealt.schema["_id"], *T.StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids).fields])
     names = schema.names
     arrow = [to_arrow_type(f.dataType) for f in schema]
     return dealt.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
