@@ -234,7 +234,9 @@ def decompress_chunk(kind: int, data: bytes) -> bytes:
 
 
 def build_bucket(stored: Sequence[tuple[int, bytes]], encrypted: bool = False) -> bytes:
-    """A bucket of (type, stored bytes), in slot order."""
+    """A bucket of (type, stored bytes), in slot order.  What does not get smaller is stored as it is, as type NONE."""
+    if any(t in (LZ4, ZSTD) and not 0 < len(x) < CHUNK_BYTES for t, x in stored):
+        raise ValueError("a compressed chunk must be smaller than a chunk")
     store = pack_size_store([t for t, _ in stored], [0 if t == COMPACTED else len(x) & 0xFFF for t, x in stored])
     crcs = b"".join(struct.pack(">I", crc32(x)) for t, x in stored if t != COMPACTED)
     mode = COMPRESS | CHUNK_CRC | (VAULT_ENCRYPT if encrypted else 0)

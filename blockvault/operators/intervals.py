@@ -43,12 +43,9 @@ def merge_ranges(df: DataFrame, keys: Sequence[str], start: str = "start", end:
 def gaps_within(df: DataFrame, spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", lo: str = "lo", hi: str = "hi") -> DataFrame:
     """The parts of each key's span [lo, hi) that its ranges do not cover.  A key without ranges is one gap."""
     merged = merge_ranges(df, keys, start, end)
-    clipped = spans.join(merged, list(keys), "left").select(
-        *keys, lo, hi, F.greatest(start, lo).alias("_s"), F.least(end, hi).alias("_e")
-    )
-    live = clipped.filter(F.col("_s").isNull() | (F.col("_s") < F.col("_e")))
+    clipped = spans.join(merged, list(keys)).select(*keys, F.greatest(start, lo).alias("_s"), F.least(end, hi).alias("_e")).filter("_s < _e")
     # A span that no range meets keeps one row with nulls.
-    whole = spans.join(live.select(*keys, "_s", "_e"), list(keys), "left")
+    whole = spans.join(clipped, list(keys), "left")
     w = Window.partitionBy(*keys).orderBy("_s")
     edges = whole.withColumns({"_from": F.coalesce(F.lag("_e").over(w), F.col(lo)), "_last": F.lead("_s").over(w).isNull()})
     head = edges.select(*keys, F.col("_from").alias("gap_start"), F.coalesce("_s", F.col(hi)).alias("gap_end"))
