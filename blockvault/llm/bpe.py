@@ -29,6 +29,14 @@ SPACE = r"\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u
 #: str.split() would also cut at these, which are no white space here.
 ODD = regex.compile(r"[\u001c-\u001f]")
 CUT = regex.compile(f"[{SPACE}]+")
+#: Letters and numbers of Unicode 16, which the tokenizers know, that are newer than Python's own tables (15.1): fixed values.
+NEW_LETTERS = """1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7
+    113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"""
+NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+#: Capital letters newer than Python's tables, with their small ones: fixed values.
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEW_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+HAS_NEW_CAPITALS = regex.compile("[" + "".join(map(chr, NEW_CAPITALS)) + "]")
 #: Pieces of up to so many symbols are merged together in one matrix.
 SHORT = 64
 NO_PAIR = np.int32(2**31 - 1)
@@ -36,6 +44,15 @@ NO_PAIR = np.int32(2**31 - 1)
 NO_ID, NO_KEY = np.uint16(0xFFFF), np.uint32(0xFFFFFFFF)
 
 
+def _within(code: int, ranges: str) -> bool:
+    return any(int(a, 16) <= code <= int(b or a, 16) for a, _, b in (r.partition("-") for r in ranges.split()))
+
+
+def _stand_in(c: str) -> str:
+    """A character of the same class as one that Python's tables do not know."""
+    return "a" if _within(ord(c), NEW_LETTERS) else "1" if _within(ord(c), NEW_NUMBERS) else "!"
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in vocabularies of byte-level BPE."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -235,7 +252,8 @@ class Vocabulary:
     def _plain(self, text: str) -> str:
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         # Letter by letter, as str.lower() would make the last sigma of a word another letter.
-        return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+        text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+        return text.translate(NEW_CAPITALS) if HAS_NEW_CAPITALS.search(text) else text
 
     def _learn_special(self, chunk: str) -> bytes:
         parts = self.specials.split(chunk)
@@ -246,7 +264,13 @@ class Vocabulary:
         special = [c for c in chunks if "<|" in c and self.specials.search(c)]
         if special:
             chunks = [c for c in chunks if c not in set(special)]
-        pieces = self.pieces.findall(self._plain("\n".join(chunks)) + "\n") if chunks else []
+        plain = self._plain("\n".join(chunks)) + "\n" if chunks else ""
+        # The regex library classes some unassigned characters in ways of its own: it gets to see others for them.
+        unknown = {ord(c): _stand_in(c) for c in set(plain) if unicodedata.category(c) == "Cn"}
+        if unknown:
+            pieces = [plain[m.start() : m.end()] for m in self.pieces.finditer(plain.translate(unknown))]
+        else:
+            pieces = self.pieces.findall(plain)
         distinct = list(dict.fromkeys(pieces))
         ids = dict(zip(distinct, self.merge([x.encode() for x in distinct]), strict=True))
         out, begin = {}, 0
