@@ -7,8 +7,8 @@ key are compared by their Hamming distances; a breadth-first search writes a spa
 not all pairs.  A key with very many members is not compared as a whole: its members go on to a finer table,
 where the bits that the key left free are split again, which bounds a key's members after a few rounds.
 
-Components of the links come from rounds in which every vertex joins its smallest neighbour and the graph is
-contracted; nothing of it goes to the driver.
+Components of the links come from rounds in which every vertex joins its smallest neighbour, chains are
+followed to their ends and the graph is contracted; nothing of it goes to the driver.
 """
 
 from __future__ import annotations
@@ -197,13 +197,27 @@ def links(vertices: DataFrame, distance: int = 4) -> DataFrame:
     return out.distinct()
 
 
+def _to_roots(parents: DataFrame) -> DataFrame:
+    """(vertex, parent) with every parent replaced by the end of its chain, whose length halves in each round."""
+    while True:
+        up = parents.select(F.col("vertex").alias("parent"), F.col("parent").alias("grand"))
+        jumped = cut(parents.join(up, "parent", "left").select("vertex", F.coalesce("grand", "parent").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
+        parents = jumped.select("vertex", "parent")
+        if jumped.filter("moved").isEmpty():
+            return parents
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(vertex, component) for each vertex of the edges (src, dst): the smallest vertex that it reaches."""
+    """(vertex, component) for each vertex of the edges (src, dst): the smallest vertex that it reaches.
+
+    In a round each vertex joins its smallest neighbour, if that is smaller; the chains that arise are followed to
+    their ends, and the graph of the ends goes on.  Every tree of a round has two vertices at least.
+    """
     edges = cut(edges.filter("src <> dst"))
     names = None
     while not edges.isEmpty():
         least = edges.select(F.col("src").alias("vertex"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
-        least = cut(least.groupBy("vertex").agg(F.min("other").alias("other")).select("vertex", F.least("vertex", "other").alias("parent")))
+        least = _to_roots(cut(least.groupBy("vertex").agg(F.min("other").alias("other")).select("vertex", F.least("vertex", "other").alias("parent"))))
         names = least.withColumnRenamed("parent", "component") if names is None else names.join(
             least.select(F.col("vertex").alias("component"), "parent"), "component", "left"
         ).select("vertex", F.coalesce("parent", "component").alias("component"))
