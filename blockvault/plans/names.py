@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as V
 from ..functions import names as N
+from ..functions import refs as R
 from ..registry import query, table
 
 _LABELS = """WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'n' || (c_custkey % 40) END AS hint FROM customer),
@@ -126,3 +127,14 @@ def filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     for column, text in wanted:
         hit = hit | F.lower(column).contains(text.lower())
     return table(spark, sf_dir, "documents").filter(hit).select("doc_id", "lang", "source")
+
+
+@query("""SELECT page_id, 'repo/a#' || CASE page_id % 3 WHEN 0 THEN '@cat:' || page_id || '/wl:2/ver:x' WHEN 1 THEN '@raw/' || replace(replace(replace(url, '%', '%25'), '#', '%23'), '/', '%2F') ELSE '%40b%23/' || replace(replace(replace(url, '%', '%25'), '#', '%23'), '/', '%2F') END AS ref,
+CASE page_id % 3 WHEN 0 THEN 'CANONICAL' WHEN 1 THEN 'RAW' ELSE 'HUMAN' END AS kind, CASE page_id % 3 WHEN 0 THEN 'ver:x' ELSE url END AS last FROM pages""")
+def node_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of the three shapes, written and read again."""
+    k = F.col("page_id") % 3
+    segments = F.when(k == 0, R.canonical(F.col("page_id"), F.lit(2), F.lit("x"))).when(k == 1, F.array(F.lit("raw"), F.col("url"))).otherwise(F.array(F.lit("@b#"), F.col("url")))
+    kind = F.when(k == 0, "CANONICAL").when(k == 1, "RAW").otherwise("HUMAN")
+    rows = table(spark, sf_dir, "pages").select("page_id", R.format_ref(F.lit("repo/a"), segments, kind).alias("ref")).withColumn("p", R.parse_ref(F.col("ref")))
+    return rows.select("page_id", "ref", "p.kind", F.element_at("p.segments", -1).alias("last"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import codec as K
 from .functions.address import BUCKET_CHUNKS, CHUNK_BYTES
@@ -148,6 +152,53 @@ class Repository:
         )
         sink.export_files(rows, folder)
 
+    def object_bytes(self, path: str, offset: int, length: int) -> DataFrame:
+        """One row (path, content): a byte range of a file as one value, holes as zeros.  For objects of moderate size."""
+        parts = self.read(path, offset, length).agg(F.array_sort(F.collect_list(F.struct("file_offset", "data"))).alias("parts"))
+
+        @F.pandas_udf(T.BinaryType())
+        def joined(parts: pd.Series) -> pd.Series:
+            out = bytearray(length)
+            for rows in parts:
+                for row in rows:
+                    at = row["file_offset"] - offset
+                    out[at : at + len(row["data"])] = row["data"]
+            return pd.Series([bytes(out)])
+
+        return parts.select(F.lit(path).alias("path"), joined("parts").alias("content"))
+
+    def stream_file(self, stream_uuid: str, connection: str, requested: int, cap: int) -> str | None:
+        """The path of the generation of a SaaS stream that holds the requested one: the nearest complete one from it
+        on, unless that is beyond ``cap``."""
+        paths = catalog.prefix_scan(self.table("file_map").filter(F.col("status") == catalog.COMPLETE), "path", f"{stream_uuid}/{connection}/")
+        shape = rf"^{re.escape(stream_uuid)}/{re.escape(connection)}/([0-9]+)/saas_obj$"
+        found = paths.filter(F.col("path").rlike(shape)).select("path", F.regexp_extract("path", shape, 1).cast("bigint").alias("n"))
+        nearest = found.filter(F.col("n") >= requested).agg(F.min("n").alias("n"), F.min_by("path", "n").alias("path")).first()
+        return nearest["path"] if nearest["n"] is not None and nearest["n"] <= cap else None
+
+    def object_table(self, path: str, object_db_id: str) -> DataFrame:
+        """(object_id, offset, length) of a stream's objects, from the database at the address ``<uuid>_<offset>_<length>``."""
+        _, offset, length = object_db_id.rsplit("_", 2)
+        content = self.object_bytes(path, int(offset), int(length))
+        rows = sqlite.read_table(self.spark, content, "object_table", {"object_id": "string", "offset": "bigint", "length": "bigint"})
+        return rows.select("object_id", "offset", "length")
+
+    def service_table(self, path: str, objects: DataFrame, object_id: str, table: str, required: dict[str, str], optional: dict[str, str] | None = None) -> DataFrame:
+        """A table of a service database, which is an object of the stream; missing optional columns are null."""
+        where = objects.filter(F.col("object_id") == object_id).select("offset", "length").first()
+        if where is None:
+            raise FileNotFoundError(object_id)
+        return sqlite.read_table(self.spark, self.object_bytes(path, where["offset"], where["length"]), table, required, optional)
+
+    def walk_records(self) -> DataFrame:
+        """All records of all sessions as they lie, also those that no file refers to any more."""
+        return source.walk(source.sessions(self.files))
+
+    def report(self) -> dict:
+        """What there is: transaction, encryption, and how many connections, workloads, versions and files."""
+        counts = {name: self.table(name).count() for name in ("connection_config", "workload_config", "copy_target_version", "file_map")}
+        return {"root": self.root, "transaction": self.transaction(), "encrypted": self.encrypted(), **counts}
+
     # -- verification --------------------------------------------------------------------------------------
 
     def verify(self, full: bool = False) -> DataFrame:

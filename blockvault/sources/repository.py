@@ -184,3 +184,29 @@ def records(wanted: DataFrame, parts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names)
 
     return both.mapInArrow(run, schema)
+
+
+def walk(parts: DataFrame) -> DataFrame:
+    """All records of each session in the order in which they lie: stream, session, offset, entries, status of the map.
+
+    A session is read from its first record on; the walk ends where a record's head is not valid.
+    """
+    held = parts.groupBy("stream", "session").agg(F.array_sort(F.collect_list(F.struct("sub", "content"))).alias("subs"))
+    names = ["stream", "session", "offset", "entries", "length", "repaired", "problem"]
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stream, session, subs in zip(*(batch.column(c).to_pylist() for c in ("stream", "session", "subs")), strict=True):
+                data, at, out = b"".join(s["content"] for s in subs), K.HEADER_BYTES, []
+                while at + 32 <= len(data) and any(data[at : at + 32]):
+                    try:
+                        entries, _, after, repaired = K.parse_record(data, at)
+                    except CorruptData as e:
+                        out.append((stream, session, at, None, None, None, str(e)))
+                        break
+                    out.append((stream, session, at, len(entries), after - at, repaired, None))
+                    at = after
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+
+    return held.mapInArrow(run, "stream bigint, session bigint, offset bigint, entries bigint, length bigint, repaired boolean, problem string")

@@ -138,3 +138,28 @@ def test_conform(spark):
     assert conform(df, {"id": "int"}, {"y": "string"}).dtypes == [("id", "int"), ("y", "string")]
     with pytest.raises(CorruptData):
         conform(df, {"nope": "int"})
+
+
+def test_walk_report_and_commands(built, capsysbinary):
+    import json
+
+    from blockvault.__main__ import main
+
+    root, content, repo, encrypted = built
+    walked = repo.walk_records().orderBy("offset").collect()
+    assert [r["entries"] for r in walked] == [1, 2, 0, 0, 1] and all(r["problem"] is None for r in walked)
+    assert repo.report()["file_map"] == 6
+    key = ["--key", key_string()] if encrypted else []
+    assert main([*key, "cat", str(root), "a/two.img", "--offset", "4000", "--length", "9000"]) == 0
+    assert capsysbinary.readouterr().out == content["a/two.img"][4000:13000]
+    assert main([*key, "verify", str(root)]) == 1
+    assert json.loads(capsysbinary.readouterr().out.splitlines()[-1]) == {"problems": 1, "repaired": 0}
+    assert main([*key, "tree", str(root), "1", "--parent", "a", "--limit", "1"]) == 0
+    assert json.loads(capsysbinary.readouterr().out)["id"] == "a/b"
+
+
+def test_objects_of_a_stream(built):
+    _, content, repo, _ = built
+    row = repo.object_bytes("a/two.img", 4000, 9000).first()
+    assert bytes(row["content"]) == content["a/two.img"][4000:13000]
+    assert repo.stream_file("u", "c", 1, 9) is None
