@@ -17,13 +17,14 @@ COMPLETE, CORRUPTED, TAINTED = 2, 4, 5
 
 
 def link_names(links: DataFrame) -> DataFrame:
-    """The display name of each connection from its link names ``<connection_id>_<other>_<name>``: the first that has one.
+    """(connection_id, display_name) from link names ``<connection_id>_<other>_<name>``: the first link that has a name.
 
-    A link is matched with a connection by the text before its first underscore, which is an equi-join; ids that
-    hold underscores themselves are matched by ``starts with`` in ``connections``.
+    An id may hold underscores itself, so a link is offered to each id that it begins with, up to an underscore;
+    the join with connections is then one by equality.  The name is what follows the second underscore of all.
     """
-    rows = links.withColumn("name", text_after_second_underscore(F.col("key"))).filter("name IS NOT NULL")
-    return rows.groupBy(F.substring_index("key", "_", 1).alias("connection_id")).agg(F.min_by("name", "key").alias("display_name"))
+    rows = links.select("key", text_after_second_underscore(F.col("key")).alias("name"), F.split("key", "_").alias("parts")).filter("name IS NOT NULL")
+    begins = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", F.lit(1), i), "_"))
+    return rows.select("key", "name", F.explode(begins).alias("connection_id")).groupBy("connection_id").agg(F.min_by("name", "key").alias("display_name"))
 
 
 def connections(config: DataFrame, versions: DataFrame, workloads: DataFrame, links: DataFrame) -> DataFrame:

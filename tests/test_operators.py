@@ -133,3 +133,11 @@ def test_documents():
     assert "SUMMARY:a\\,b" in ics and "DTSTART;VALUE=DATE:20240203" in ics and "UID:e1" in ics and "ORGANIZER:mailto:x@y" in ics
     assert all(len(line.encode()) <= 75 for line in D.build_ics(b'{"subject":"' + b"x" * 500 + b'"}', "e").decode().split("\r\n"))
     assert D.sanitize('<b onclick=x>a<script>bad()</script><a href="javascript:1">l</a><img src=s>', {"s": "QQ=="}) == '<b>a<a>l</a><img src="data:image/png;base64,QQ=="></b>'
+
+
+def test_link_names(spark):
+    from blockvault.operators import catalog
+
+    links = spark.createDataFrame([("a_b_x_y",), ("a_b_c_z",), ("c_o_",), ("d_o_n_m",), ("plain",)], "key string")
+    got = {r["connection_id"]: r["display_name"] for r in catalog.link_names(links).collect()}
+    assert got["a"] == "c_z" and got["a_b"] == "c_z" and got["d"] == "n_m" and "c" not in got and "plain" not in got
