@@ -16,10 +16,10 @@ def chunked(df: DataFrame, key: str, content: str, size: int) -> DataFrame:
 
     A null or empty content has no chunks.
     """
-    n = F.ceil(F.length(content) / F.lit(size)).cast("int")
-    rows = df.filter(F.length(content) > 0).select(key, content, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
-    chunk = F.substring(F.col(content), F.col("chunk_no") * size + 1, F.lit(size))
-    return rows.select(key, "chunk_no", chunk.alias("chunk")).withColumn("fingerprint", F.sha2(F.col("chunk").cast("binary"), 256))
+    # One pass over the content, and rows that carry their chunk alone, not the whole content.
+    pieces = F.regexp_extract_all(content, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    rows = df.select(key, F.posexplode(pieces).alias("chunk_no", "chunk"))
+    return rows.withColumn("fingerprint", F.sha2(F.col("chunk").cast("binary"), 256))
 
 
 def numbered(df: DataFrame, order: Sequence[str], group: Column, name: str = "number") -> DataFrame:
