@@ -1,8 +1,9 @@
 """License scans in DataFrame operations alone: an exact set-similarity join with templates of licenses.
 
 Base labels come from phrases whose words stand consecutively.  Beside them, every block of text (a paragraph,
-or a line where a text has no blank lines) is joined with the templates: the words of templates are ordered by
-how many blocks of the whole input hold them, the rarest first, and a block is compared with a template only
+or, where a text has no blank lines, a line together with the lines that a template may be wrapped over) is
+joined with the templates: the words of templates are ordered by how many blocks of the whole input that may
+match hold them, the rarest first, and a block is compared with a template only
 if it has enough words (length filter), shares a word of both prefixes (prefix filter), and enough words can
 follow the first one that they share (positional filter).  What passes is verified by its whole overlap, so
 all blocks that hold the threshold's share of a template's words are found.  Only words of templates can
@@ -12,10 +13,14 @@ count, so blocks keep those alone; templates are constants of a fixed, small siz
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: The share of a template's distinct words that a block must hold.
 THRESHOLD = 0.8
 #: A phrase's words stand consecutively: fixed values.
@@ -61,8 +66,7 @@ def _spaces(text: Column) -> Column:
 
 
 def _words_of(template: str) -> list[str]:
-    kept = "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in template.lower())
-    return list(dict.fromkeys(kept.split()))
+    return "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in template.lower()).split()
 
 
 def _base(rows: DataFrame) -> DataFrame:
@@ -90,20 +94,40 @@ def _base(rows: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """A row for each block with at least ``least`` distinct words of templates: key, place of the block, those words."""
-    text = F.col("_text")
-    blank = r"\n[ \t\r]*\n"
-    parts = F.when(text.rlike(blank), F.split(text, blank)).otherwise(F.split(text, r"\n"))
-    found = rows.select("_id", "_hash", F.posexplode(parts).alias("_block", "_part"))
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    found = found.select("_id", "_hash", "_block", F.array_intersect(F.split(plain(F.col("_part")), " "), known).alias("_words"))
-    return found.filter(F.size("_words") >= least)
+def _held(text: Column, vocabulary: list[str]) -> Column:
+    return F.array_intersect(F.split(plain(text), " "), F.array(*[F.lit(w) for w in vocabulary]))
+
+
+def _blocks(rows: DataFrame, sets: dict[str, list[str]], need: dict[str, int], span: int) -> DataFrame:
+    """A row for each block that may match: key, first and last place of the block, its distinct words of templates.
+
+    Only texts that as a whole hold enough words of a template are split, as no block holds more than they do.
+    Without a blank line, each line is a block, and another one goes on over the lines where ``span`` words from its
+    last one end.
+    """
+    text, blank = F.col("_text"), r"\n[ \t\r]*\n"
+    vocabulary = sorted({w for words in sets.values() for w in words})
+    enough = [F.size(F.array_intersect("_words", F.array(*map(F.lit, sets[n])))) >= need[n] for n in sets]
+    able = rows.select("_id", "_hash", "_text", _held(text, vocabulary).alias("_words")).filter(reduce(or_, enough))
+    able = able.drop("_words").dropDuplicates(["_id", "_hash"])
+    split = lambda df, by: df.select("_id", "_hash", F.posexplode(F.split(text, by)).alias("_block", "_part")).withColumn("_words", _held(F.col("_part"), vocabulary))
+    place = ["_id", "_hash", "_block", "_until", "_words"]
+    paragraphs = split(able.filter(text.rlike(blank)), blank).withColumn("_until", F.col("_block"))
+    lines = split(able.filter(~text.rlike(blank)), r"\n")
+    # A line counts as span words at most, so that those after a long line are reached from it.
+    number = F.least(F.greatest(_spaces(plain(F.col("_part"))) - 1, F.lit(0).cast("long")), F.lit(span))
+    own = Window.partitionBy("_id", "_hash")
+    lines = lines.withColumn("_number", number).withColumn("_begin", F.sum("_number").over(own.orderBy("_block")) - F.col("_number"))
+    after = own.orderBy("_begin").rangeBetween(0, 2 * span)
+    lines = lines.withColumns({"_until": F.max("_block").over(after), "_more": F.array_distinct(F.flatten(F.collect_list("_words").over(after)))})
+    alone = lines.withColumn("_until", F.col("_block"))
+    wrapped = lines.filter(F.col("_until") > F.col("_block")).withColumn("_words", F.col("_more"))
+    return paragraphs.select(place).union(alone.select(place)).union(wrapped.select(place))
 
 
 def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, n_words, n_base, first_word, last_word, base_labels, labels, score and
-    matches, an array of (block, template, overlap, containment).
+    matches, an array of (block, template, overlap, containment); a block of several lines has its first one's place.
 
     Labels are distinct, sorted and joined by commas; without any they are empty texts.  score is the largest
     containment found, 1 where a phrase stands, else 0.  A null text counts as empty and has no words.  Rows
@@ -111,16 +135,17 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold
     are not read.
     """
     spark = df.sparkSession
-    sets = {name: _words_of(text) for name, text in templates.items()}
+    span = max((len(_words_of(text)) for text in templates.values()), default=1)
+    sets = {name: list(dict.fromkeys(_words_of(text))) for name, text in templates.items()}
     need = {name: max(1, math.ceil(threshold * len(words) - 1e-9)) for name, words in sets.items()}
     vocabulary = sorted({w for words in sets.values() for w in words})
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_hash", F.xxhash64("_text"))
     base = _base(rows.withColumn("_plain", plain(F.col("_text")))).drop("_plain", "_text")
-    blocks = _blocks(rows, vocabulary, min(need.values()))
+    blocks = cut(_blocks(rows, sets, need, span).filter(F.size("_words") >= min(need.values())))
 
     # One row for each word of a template at most, whatever the size of the input.
-    often = {r[0]: r[1] for r in _blocks(rows, vocabulary, 1).select(F.explode("_words").alias("word")).groupBy("word").count().collect()}
+    often = {r[0]: r[1] for r in blocks.select(F.explode("_words").alias("word")).groupBy("word").count().collect()}
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
@@ -145,13 +170,16 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold
     )
     overlap = F.size(F.array_intersect("_ranks", "ranks"))
     met = places.join(index, "rank").filter(able).withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
-    match = F.struct(F.col("_block").alias("block"), F.col("template"), F.col("overlap"), (F.col("overlap") / F.col("size")).alias("containment"))
+    match = F.struct(F.col("_block").alias("block"), F.col("template"), F.col("overlap"), (F.col("overlap") / F.col("size")).alias("containment"), F.col("_until").alias("until"))
     matched = met.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set(match)).alias("matches"))
+    # Lines together count for a template that none of them holds alone.
+    alone = lambda m, o: (o["until"] == o["block"]) & (o["template"] == m["template"]) & o["block"].between(m["block"], m["until"])
+    matched = matched.withColumn("matches", F.filter("matches", lambda m: (m["until"] == m["block"]) | ~F.exists("matches", lambda o: alone(m, o))))
 
     whole = base.join(matched.withColumnRenamed("_id", "_other"), F.col("_id").eqNullSafe(F.col("_other")) & (base["_hash"] == matched["_hash"]), "left")
     matches = F.coalesce("matches", F.array().cast(matched.schema["matches"].dataType))
     # Notices of related licenses share most of their words: a block's label is that of its fullest templates.
-    fullest = F.filter(matches, lambda m: ~F.exists(matches, lambda o: (o["block"] == m["block"]) & (o["containment"] > m["containment"])))
+    fullest = F.filter(matches, lambda m: ~F.exists(matches, lambda o: (o["block"] == m["block"]) & (o["until"] == m["until"]) & (o["containment"] > m["containment"])))
     renamed = F.transform(fullest, lambda m: F.coalesce(F.create_map(*[F.lit(x) for kv in SAME.items() for x in kv])[m["template"]], m["template"]))
     return whole.select(
         F.col("_id").alias(id_col),
@@ -162,5 +190,5 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("_base", renamed)), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(matches, lambda m: m["containment"])), F.lit(0.0))).alias("score"),
-        matches.alias("matches"),
+        F.transform(matches, lambda m: m.dropFields("until")).alias("matches"),
     )

@@ -129,6 +129,20 @@ def test_license_matches_name_the_block(spark):
     assert [(m["block"], m["template"]) for m in got] == [(1, "mit")]
 
 
+def test_wrapped_notices_without_blank_lines(spark):
+    import textwrap
+
+    names = ["mit", "apache", "bsd", "isc", "mpl", "lgpl"]
+    rows = [(i, "\n".join(["Intro of it.", "word " * 200, *textwrap.wrap(" ".join(S.TEMPLATES[n].split()), width), "The end"]), "en") for i, (n, width) in enumerate((n, w) for n in names for w in (30, 72))]
+    # The notice begins at the end of a long line; its words alone, strewn over a text, are none.
+    rows.append((100, "word " * 300 + S.TEMPLATES["bsd"].replace(" with or", "\nwith or") + "\nThe end", "en"))
+    rows.append((101, "\n".join(f"{w} " + "word " * 60 for w in words(S.TEMPLATES["bsd"])), "en"))
+    got = {r["doc_id"]: (set(filter(None, r["labels"].split(","))), r["score"]) for r in S.license_scan(frame(spark, rows)).collect()}
+    for i, n in enumerate(names):
+        assert n in got[2 * i][0] and got[2 * i] == got[2 * i + 1] and got[2 * i][1] == 1.0
+    assert got[100] == ({"bsd"}, 1.0) and got[101] == (set(), 0.0)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>The title</title><style>p{}</style><script>if (a<b) document.write("<p>the of and</p>")</script></head>
 <body><div id="cookie-notice">We use the cookies of this site for all that is in it and that was there for you to see.</div>
 <header><a href=/>Home</a></header><nav><ul><li><a href=/a>The first</a></li><li><a href=/b>And the second</a></li></ul></nav>
