@@ -51,6 +51,8 @@ TEMPLATES = {
 }
 #: Templates that stand for another label.
 SAME = {"gpl-line": "gpl"}
+#: Licenses whose notices share most of their words.
+RELATED = ("gpl", "gpl-line", "lgpl", "agpl")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -170,7 +172,7 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold
     )
     overlap = F.size(F.array_intersect("_ranks", "ranks"))
     met = places.join(index, "rank").filter(able).withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
-    match = F.struct(F.col("_block").alias("block"), F.col("template"), F.col("overlap"), (F.col("overlap") / F.col("size")).alias("containment"), F.col("_until").alias("until"))
+    match = F.struct(F.col("_block").alias("block"), F.col("template"), F.col("overlap"), (F.col("overlap") / F.col("size")).alias("containment"), F.col("_until").alias("until"), F.array_intersect("_ranks", "ranks").alias("held"))
     matched = met.groupBy("_id", "_hash").agg(F.array_sort(F.collect_set(match)).alias("matches"))
     # Lines together count for a template that none of them holds alone.
     alone = lambda m, o: (o["until"] == o["block"]) & (o["template"] == m["template"]) & o["block"].between(m["block"], m["until"])
@@ -178,8 +180,10 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold
 
     whole = base.join(matched.withColumnRenamed("_id", "_other"), F.col("_id").eqNullSafe(F.col("_other")) & (base["_hash"] == matched["_hash"]), "left")
     matches = F.coalesce("matches", F.array().cast(matched.schema["matches"].dataType))
-    # Notices of related licenses share most of their words: a block's label is that of its fullest templates.
-    fullest = F.filter(matches, lambda m: ~F.exists(matches, lambda o: (o["block"] == m["block"]) & (o["until"] == m["until"]) & (o["containment"] > m["containment"])))
+    # Of related licenses, one whose words in a block all belong to a fuller one there is no label of its own.
+    related = lambda m: m["template"].isin(*RELATED)
+    fuller = lambda m, o: related(o) & (o["block"] == m["block"]) & (o["until"] == m["until"]) & (o["containment"] > m["containment"]) & (F.size(F.array_except(m["held"], o["held"])) == 0)
+    fullest = F.filter(matches, lambda m: ~(related(m) & F.exists(matches, lambda o: fuller(m, o))))
     renamed = F.transform(fullest, lambda m: F.coalesce(F.create_map(*[F.lit(x) for kv in SAME.items() for x in kv])[m["template"]], m["template"]))
     return whole.select(
         F.col("_id").alias(id_col),
@@ -190,5 +194,5 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("_base", renamed)), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(matches, lambda m: m["containment"])), F.lit(0.0))).alias("score"),
-        F.transform(matches, lambda m: m.dropFields("until")).alias("matches"),
+        F.transform(matches, lambda m: m.dropFields("until", "held")).alias("matches"),
     )

@@ -143,6 +143,13 @@ def test_wrapped_notices_without_blank_lines(spark):
     assert got[100] == ({"bsd"}, 1.0) and got[101] == (set(), 0.0)
 
 
+def test_two_notices_in_one_block(spark):
+    cut = " ".join(S.TEMPLATES["isc"].split()).replace("without fee ", "without ").replace("any purpose", "any")
+    rows = [(1, " ".join(S.TEMPLATES["mit"].split()) + " " + cut, "en")]
+    got = {r["doc_id"]: r for r in S.license_scan(frame(spark, rows)).collect()}
+    assert got[1]["labels"] == "isc,mit" and sorted(m["containment"] < 1 for m in got[1]["matches"]) == [False, True]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>The title</title><style>p{}</style><script>if (a<b) document.write("<p>the of and</p>")</script></head>
 <body><div id="cookie-notice">We use the cookies of this site for all that is in it and that was there for you to see.</div>
 <header><a href=/>Home</a></header><nav><ul><li><a href=/a>The first</a></li><li><a href=/b>And the second</a></li></ul></nav>
