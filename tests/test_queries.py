@@ -20,6 +20,18 @@ def test_query_matches_sql(spark, sf_dir, con, name):
     assert rows(got) == rows(want)
 
 
+def test_blocks_hold_whole_texts(spark, sf_dir):
+    from blockvault.plans.codecs import blocks
+
+    held = {}
+    for r in blocks(spark, sf_dir).orderBy("doc_id", "place").collect():
+        held[r["doc_id"]] = held.get(r["doc_id"], b"") + bytes(r["block"])
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        raw = r["text"].encode()
+        assert held[r["doc_id"]] == raw.ljust(max(1, -(-len(raw) // 4096)) * 4096, b"\0")
+    assert max(map(len, held.values())) > 4096
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
