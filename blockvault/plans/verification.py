@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codec as K
 from ..operators import verify as V
 from ..registry import query, table
+from .codecs import blocks
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +39,14 @@ def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, 'fingerprint' AS stage, CASE WHEN doc_id % 97 = 0 THEN 'CORRUPT' ELSE 'MISSING' END AS symptom FROM documents WHERE doc_id % 97 = 0 OR doc_id % 89 = 0""")
 def verify_fingerprint_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks whose plaintext was changed after its fingerprint, and chunks without one."""
-    block = F.rpad(F.substring(F.encode("text", "utf-8"), 1, 4096), 4096, F.unhex(F.lit("00")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", block.alias("block"))
-    slot = [F.lit(1).cast("bigint").alias("stream"), F.floor(F.col("doc_id") / 8192).alias("bucket"), (F.col("doc_id") % 8192).cast("int").alias("chunk")]
-    stored = docs.select("doc_id", *slot, F.lit(K.ZSTD).alias("type"), F.lit(False).alias("encrypted"), K.compressed(F.lit(K.ZSTD), F.when(F.col("doc_id") % 97 == 0, F.concat(F.unhex(F.lit("00")), F.substring("block", 2, 4095))).otherwise(F.col("block"))).alias("stored"), F.col("doc_id").cast("string").alias("path"))
-    marks = docs.filter("doc_id % 89 <> 0 OR doc_id % 97 = 0").select(*slot, F.unhex(F.sha2("block", 256)).alias("fingerprint"))
+    """Documents of which one chunk was changed after its fingerprint, or one chunk has none; all chunks are checked."""
+    docs = blocks(spark, sf_dir)
+    wrong = F.col("place") == F.pmod(F.col("doc_id") * 7919, F.col("chunks"))
+    slot = [F.lit(1).cast("bigint").alias("stream"), (F.col("doc_id") * 1024 + F.floor(F.col("place") / 8192)).alias("bucket"), (F.col("place") % 8192).cast("int").alias("chunk")]
+    # No UTF-8 text holds the byte that damages it.
+    plain = F.when(wrong & (F.col("doc_id") % 97 == 0), F.concat(F.unhex(F.lit("ff")), F.substring("block", 2, 4095))).otherwise(F.col("block"))
+    stored = docs.select("doc_id", *slot, F.lit(K.ZSTD).alias("type"), F.lit(False).alias("encrypted"), K.compressed(F.lit(K.ZSTD), plain).alias("stored"), F.col("doc_id").cast("string").alias("path"))
+    marks = docs.filter(~wrong | (F.col("doc_id") % 89 != 0) | (F.col("doc_id") % 97 == 0)).select(*slot, F.unhex(F.sha2("block", 256)).alias("fingerprint"))
     return V.check_fingerprints(V.decoded(stored), marks).select(F.col("path").cast("bigint").alias("doc_id"), "stage", "symptom")
 
 

@@ -32,6 +32,18 @@ def test_blocks_hold_whole_texts(spark, sf_dir):
     assert max(map(len, held.values())) > 4096
 
 
+def test_every_chunk_is_stored_and_marked(spark, sf_dir, monkeypatch):
+    from blockvault.plans import verification
+
+    seen = {}
+    monkeypatch.setattr(verification.V, "check_fingerprints", lambda plain, marks: seen.update(plain=plain.count(), marks=marks.count()) or plain.selectExpr("path", "'' AS stage", "'' AS symptom"))
+    verification.verify_fingerprint_mismatch(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    chunks = sum(max(1, -(-len(r["text"].encode()) // 4096)) for r in docs)
+    assert seen["plain"] == chunks > len(docs)
+    assert seen["marks"] == chunks - sum(r["doc_id"] % 89 == 0 and r["doc_id"] % 97 != 0 for r in docs)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
