@@ -104,7 +104,6 @@ def pack_best_fit(df: DataFrame, vocabulary: str, width: int = 4096, end_id: int
 
         arrow = to_arrow_schema(schema)
         v = bpe.load(vocabulary)
-        end = int(end_id).to_bytes(4, "little")
         number = TaskContext.get().partitionId() << 40
         ids: list = []
         docs: list[np.ndarray] = []
@@ -129,9 +128,10 @@ def pack_best_fit(df: DataFrame, vocabulary: str, width: int = 4096, end_id: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), v.encode_batch(batch.column(1).to_pylist()), strict=True):
+            found, limits = v.encode_column(batch.column(1), end_id)
+            for doc, a, b in zip(batch.column(0).to_pylist(), limits, limits[1:], strict=False):
                 ids.append(doc)
-                docs.append(np.frombuffer(raw + end, "<u4"))
+                docs.append(found[a:b])
                 tokens += len(docs[-1])
                 if tokens >= SHARD_TOKENS:
                     yield from shard()

@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ from .common import small_batches
 
 #: White space as Unicode has it, which ends chunks: no piece reaches across it.
 SPACE = r"\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: str.split() would also cut at these, which are no white space here.
-ODD = regex.compile(r"[\u001c-\u001f]")
-CUT = regex.compile(f"[{SPACE}]+")
+#: Arrow's own splitting would also cut at these, which are no white space here.
+ODD = r"[\x1c-\x1f]"
+CUT = "[" + SPACE.encode().decode("unicode_escape") + "]+"
 #: Letters and numbers of Unicode 16, which the tokenizers know, that are newer than Python's own tables (15.1): fixed values.
 NEW_LETTERS = """1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7
     113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"""
@@ -36,9 +37,18 @@ NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0
 #: Capital letters newer than Python's tables, with their small ones: fixed values.
 NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 NEW_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-HAS_NEW_CAPITALS = regex.compile("[" + "".join(map(chr, NEW_CAPITALS)) + "]")
-#: Pieces of up to so many symbols are merged together in one matrix.
-SHORT = 64
+CAPITALS = frozenset(map(chr, NEW_CAPITALS))
+#: Marks whose class the normalisation of the tokenizers does not know, as they are newer than it, and one letter that
+#: it does not compose with the one before it: fixed values.
+NEW_MARKS = """7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85
+    11070 1133b 1145e 11839-1183a 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136
+    1e2ae 1e2ec-1e2ef 1e4ec-1e4ef 11930"""
+MARKS = frozenset(chr(c) for r in NEW_MARKS.split() for c in range(int(r.partition("-")[0], 16), int(r.rpartition("-")[2], 16) + 1))
+APART = regex.compile("([" + "".join(MARKS) + "])")
+#: Pieces of up to so many bytes are merged together, up to so many in one matrix.
+SHORT, ROWS = 64, 4096
+#: Texts are encoded in groups of about so many bytes.
+GROUP_BYTES = 4_000_000
 NO_PAIR = np.int32(2**31 - 1)
 #: No id and no pair of ids has these values: vocabularies have less than 65,535 ids.
 NO_ID, NO_KEY = np.uint16(0xFFFF), np.uint32(0xFFFFFFFF)
@@ -60,11 +70,47 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
 
 
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a large string array, and where each value's begin; there is one limit more."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(strings.buffers()[2] or b"", np.uint8), offsets
+
+
+def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs [begin, begin + size) of the pool, one after the other."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Chunks:
+    """The ids of chunks between white space: a chunk has a slot, whose ids lie in a pool."""
+
+    def __init__(self):
+        self.slots: dict[str, int] = {"": 0}
+        self.begin, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.pool, self.used = np.zeros(0, np.uint32), 0
+
+    def __len__(self) -> int:
+        return len(self.slots)
+
+    def add(self, chunks: Sequence[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.slots)
+        self.slots.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        if len(self.begin) < len(self.slots):
+            room = np.zeros(len(self.slots), np.int64)  # half as much again
+            self.begin, self.size = np.append(self.begin, room), np.append(self.size, room)
+        if len(self.pool) < self.used + len(ids):
+            self.pool = np.append(self.pool, np.zeros(self.used + len(ids), np.uint32))
+        self.begin[n : n + len(chunks)], self.size[n : n + len(chunks)] = self.used + np.cumsum(size) - size, size
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+
 class Vocabulary:
     """A tokenizer file with word ends: normalisation NFC and lower case, splitting by a pattern, byte-level BPE.
 
-    ``encode_batch`` gives a text's ids as little-endian unsigned 32-bit numbers.  The ids of chunks between
-    white space are kept in two tables of at most ``kept`` chunks; when the newer is full, the older goes.
+    ``encode_column`` gives the ids of an Arrow column of texts.  The ids of chunks between white space are kept in
+    two tables of at most ``kept`` chunks; when the newer is full, the older goes.
     """
 
     def __init__(self, path: str, kept: int = 450_000):
@@ -88,7 +134,7 @@ class Vocabulary:
             raise ValueError(f"{path}: {len(self.ids)} ids")
         self._hash_pairs(((left << 16) | right).astype(np.uint32))
         self.rank_of: dict[int, int] = {}
-        self.kept, self.table, self.older = kept, {}, {}
+        self.kept, self.table, self.older = kept, Chunks(), Chunks()
 
     # -- ranks ---------------------------------------------------------------------------------------------
 
@@ -141,11 +187,12 @@ class Vocabulary:
         out[-1] = self.last[raw[-1]]
         return out
 
-    def _merge_rows(self, pieces: Sequence[bytes], width: int) -> tuple[bytes, list[int]]:
-        """Merge all pieces, none longer than ``width`` (a power of two), a tree in each row: ids and limits as bytes."""
-        n = len(pieces)
-        size = np.fromiter(map(len, pieces), np.int32, n)
-        raw = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in pieces]), np.uint8).reshape(n, width)
+    def _merge_rows(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge pieces, the bytes of each in a row of ``raw``, whose width is a power of two: a tree in each row.
+
+        Gives the ids of all rows, one after the other, and how many each row has.
+        """
+        n, width = raw.shape
         place = np.arange(width, dtype=np.int32)
         symbols = np.where(place < size[:, None], self.first[raw], NO_ID)
         rows = np.arange(n, dtype=np.int32)
@@ -180,7 +227,7 @@ class Vocabulary:
                 self._update(tree, rows, width + at, np.where(ranks < NO_PAIR, ranks * width + at, NO_PAIR), width)
             alive = alive[tree[alive, 1] < NO_PAIR]
         keep = symbols != NO_ID
-        return symbols[keep].astype("<u4").tobytes(), [0, *(4 * np.cumsum(keep.sum(axis=1))).tolist()]
+        return symbols[keep].astype(np.uint32), keep.sum(axis=1)
 
     @staticmethod
     def _update(tree: np.ndarray, rows: np.ndarray, leaf: np.ndarray, value: np.ndarray, width: int) -> None:
@@ -230,90 +277,142 @@ class Vocabulary:
                 put(before, r * width + before if r < NO_PAIR else none)
         return np.array([x for x in ids if x >= 0], np.int64)
 
-    def merge(self, pieces: Sequence[bytes]) -> list[bytes]:
-        """The ids of each piece, which is not empty, as bytes."""
-        out: list[bytes] = [b""] * len(pieces)
-        groups: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            if len(piece) > SHORT:
-                out[i] = self._merge_long(piece).astype("<u4").tobytes()
-            else:
-                groups.setdefault(1 << (len(piece) - 1).bit_length(), []).append(i)
-        for width, members in groups.items():
-            for k in range(0, len(members), 4096):
-                part = members[k : k + 4096]
-                raw, begin = self._merge_rows([pieces[i] for i in part], width)
-                for i, p, q in zip(part, begin, begin[1:], strict=False):
-                    out[i] = raw[p:q]
-        return out
+    def merge(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces, none of which is empty: a pool of ids, and where in it each piece's begin and how many it has."""
+        data, offsets = _bytes_of(pieces)
+        length = np.diff(offsets)
+        begin, size = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        pool, used = [np.zeros(0, np.uint32)], 0
+        for i in np.flatnonzero(length > SHORT).tolist():
+            pool.append(self._merge_long(data[offsets[i] : offsets[i + 1]].tobytes()).astype(np.uint32))
+            begin[i], size[i] = used, len(pool[-1])
+            used += len(pool[-1])
+        width = 1
+        while width <= SHORT:
+            members = np.flatnonzero((length > width // 2) & (length <= width))
+            for k in range(0, len(members), ROWS):
+                part = members[k : k + ROWS]
+                at = offsets[part][:, None] + np.arange(width)
+                ids, number = self._merge_rows(data[np.minimum(at, len(data) - 1)], length[part])
+                begin[part], size[part] = used + np.cumsum(number) - number, number
+                pool.append(ids)
+                used += len(ids)
+            width *= 2
+        return np.concatenate(pool), begin, size
 
     # -- texts ---------------------------------------------------------------------------------------------
 
     def _plain(self, text: str) -> str:
-        text = text if text.isascii() else unicodedata.normalize("NFC", text)
-        # Letter by letter, as str.lower() would make the last sigma of a word another letter.
-        text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
-        return text.translate(NEW_CAPITALS) if HAS_NEW_CAPITALS.search(text) else text
-
-    def _learn_special(self, chunk: str) -> bytes:
-        parts = self.specials.split(chunk)
-        return b"".join(self.special[x].to_bytes(4, "little") if k % 2 else self.learn([x])[x] if x else b"" for k, x in enumerate(parts))
-
-    def learn(self, chunks: Sequence[str]) -> dict[str, bytes]:
-        """The ids of chunks, none of which has white space, as bytes."""
-        special = [c for c in chunks if "<|" in c and self.specials.search(c)]
-        if special:
-            chunks = [c for c in chunks if c not in set(special)]
-        plain = self._plain("\n".join(chunks)) + "\n" if chunks else ""
+        if not text.isascii():
+            if MARKS.isdisjoint(text):
+                text = unicodedata.normalize("NFC", text)
+            else:  # marks that the tokenizers' normalisation does not know stay where they are, and nothing passes them
+                text = "".join([x if k % 2 else unicodedata.normalize("NFC", x) for k, x in enumerate(APART.split(text))])
+            if "Σ" in text:  # letter by letter, as str.lower() would make the last sigma of a word another letter
+                text = "".join([c.lower() for c in text])
+            if not CAPITALS.isdisjoint(text):
+                text = text.translate(NEW_CAPITALS)
+        return text.lower()
+
+    def _split(self, plain: str) -> list[str]:
+        """The pieces of a text whose chunks are divided by line feeds; a line feed is a piece."""
         # The regex library classes some unassigned characters in ways of its own: it gets to see others for them.
-        unknown = {ord(c): _stand_in(c) for c in set(plain) if unicodedata.category(c) == "Cn"}
+        unknown = {} if plain.isascii() else {ord(c): _stand_in(c) for c in set(plain) if unicodedata.category(c) == "Cn"}
         if unknown:
-            pieces = [plain[m.start() : m.end()] for m in self.pieces.finditer(plain.translate(unknown))]
-        else:
-            pieces = self.pieces.findall(plain)
-        distinct = list(dict.fromkeys(pieces))
-        ids = dict(zip(distinct, self.merge([x.encode() for x in distinct]), strict=True))
-        out, begin = {}, 0
-        for chunk in chunks:
-            end = pieces.index("\n", begin)
-            out[chunk] = ids[pieces[begin]] if end == begin + 1 else b"".join([ids[x] for x in pieces[begin:end]])
-            begin = end + 1
-        return out | {c: self._learn_special(c) for c in special}
+            return [plain[m.start() : m.end()] for m in self.pieces.finditer(plain.translate(unknown))]
+        return self.pieces.findall(plain)
+
+    def _learn_special(self, chunk: str) -> np.ndarray:
+        parts = self.specials.split(chunk)
+        found = [np.array([self.special[x]], np.uint32) if k % 2 else self.learn([x])[0] for k, x in enumerate(parts) if x]
+        return np.concatenate(found)
+
+    def learn(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, none of which is empty or has white space, one after the other, and how many each has."""
+        if any("<|" in c for c in chunks) and (special := [i for i, c in enumerate(chunks) if self.specials.search(c)]):
+            ids, size = self.learn([c for c in chunks if not self.specials.search(c)])
+            own = [self._learn_special(chunks[i]) for i in special]
+            sizes = np.zeros(len(chunks), np.int64)
+            plain = np.ones(len(chunks), bool)
+            plain[special] = False
+            sizes[plain], sizes[special] = size, [len(x) for x in own]
+            begin = np.zeros(len(chunks), np.int64)
+            begin[plain], begin[special] = np.cumsum(size) - size, len(ids) + np.cumsum([0, *map(len, own)][:-1])
+            return _gather(np.concatenate([ids, *own]), begin, sizes), sizes
+        if not len(chunks):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        pieces = pa.array(self._split(self._plain("\n".join(chunks)) + "\n"), pa.large_string()).dictionary_encode()
+        which = pieces.indices.to_numpy()
+        line = pieces.dictionary.index("\n").as_py()
+        pool, begin, size = self.merge(pieces.dictionary)
+        size[line] = 0
+        size = size[which]
+        ends = np.flatnonzero(which == line)
+        return _gather(pool, begin[which], size), np.diff(np.cumsum(size)[ends], prepend=0)
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and their limits; ``end_id``, if given, follows each text.
+
+        A null text counts as empty.
+        """
+        texts = texts.fill_null("")
+        weight = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        ids, sizes, begin = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while begin < len(texts):  # some MB of text at a time
+            until = int(np.searchsorted(weight, (weight[begin - 1] if begin else 0) + GROUP_BYTES, "right"))
+            until = max(until, begin + 1)
+            found, size = self._encode_some(texts[begin:until], end_id)
+            ids.append(found)
+            sizes.append(size)
+            begin = until
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; a null text counts as empty."""
-        out: list[bytes] = []
-        begin = weight = 0
-        for i, text in enumerate(texts):  # some MB of text at a time
-            weight += len(text or "")
-            if weight > 4_000_000:
-                out += self._encode_some(texts[begin : i + 1])
-                begin, weight = i + 1, 0
-        return out + self._encode_some(texts[begin:])
-
-    def _encode_some(self, texts: Sequence[str | None]) -> list[bytes]:
+        ids, limits = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(limits, limits[1:], strict=False)]
+
+    def _encode_some(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.any(pc.match_substring_regex(texts, ODD)).as_py()
+        chunks = pc.split_pattern_regex(texts, CUT) if odd else pc.utf8_split_whitespace(texts)
+        limits = chunks.offsets.to_numpy().astype(np.int64)
+        coded = chunks.values[limits[0] : limits[-1]].dictionary_encode()
+        slots = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        limits -= limits[0]
+        size = self.table.size[slots]
+        begin = self.table.begin[slots]
+        pool = self.table.pool
+        if end_id is not None:
+            pool = np.append(pool[: self.table.used], np.uint32(end_id))
+            size, begin = np.insert(size, limits[1:], 1), np.insert(begin, limits[1:], len(pool) - 1)
+            limits += np.arange(len(limits))
+        total = np.concatenate([[0], np.cumsum(size)])
+        return _gather(pool, begin, size), np.diff(total[limits])
+
+    def _slots(self, distinct: Sequence[str]) -> np.ndarray:
+        """The places of chunks in the table; those that it does not hold come from the older one, or are learned."""
+        slots = list(map(self.table.slots.get, distinct))
+        gaps = [i for i, x in enumerate(slots) if x is None]
+        if gaps and len(self.table) + len(gaps) > self.kept and len(self.table) > 1:
+            # The older half goes, and so does a table that one group of texts alone has made too large.
+            self.older, self.table = self.table if len(self.table) <= self.kept else Chunks(), Chunks()
+            slots = list(map(self.table.slots.get, distinct))
+            gaps = [i for i, x in enumerate(slots) if x is None]
         table, older = self.table, self.older
-        found, fresh, gaps = [], {}, []
-        for text in texts:
-            chunks = (CUT.split(text) if ODD.search(text) else text.split()) if text else []
-            ids = list(map(table.get, chunks))
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                if (x := older.get(chunks[at])) is None:
-                    fresh[chunks[at]] = b""
-                    gaps.append((ids, at, chunks[at]))
-                else:
-                    ids[at] = table[chunks[at]] = x
-            found.append(ids)
-        fresh |= self.learn([c for c in fresh if c])
-        for ids, at, chunk in gaps:
-            ids[at] = fresh[chunk]
-        if len(table) + len(fresh) > self.kept:  # the older half goes
-            self.older, self.table = (table, {}) if len(table) <= self.kept else ({}, {})
-        if len(fresh) <= self.kept:  # else one text alone was larger: do not hold on to it
-            self.table |= fresh
-        return [b"".join(ids) for ids in found]
+        if gaps:
+            new = [distinct[i] for i in gaps]
+            known = np.array([-1 if (x := older.slots.get(c)) is None else x for c in new], np.int64)
+            there = known >= 0
+            first = len(table.slots)
+            if there.any():
+                old = known[there]
+                table.add([c for c, t in zip(new, there.tolist(), strict=True) if t], _gather(older.pool, older.begin[old], older.size[old]), older.size[old])
+            fresh = [c for c, t in zip(new, there.tolist(), strict=True) if not t]
+            table.add(fresh, *self.learn(fresh))
+            rank = np.where(there, np.cumsum(there) - 1, there.sum() + np.cumsum(~there) - 1)
+            for i, x in zip(gaps, (first + rank).tolist(), strict=True):
+                slots[i] = x
+        return np.array(slots, np.int64)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by one space, special tokens included, as a file without a decoder has it."""
@@ -341,7 +440,9 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v.encode_batch(batch.column(1).to_pylist()), pa.binary())], ["_id", "ids"])
+            ids, limits = v.encode_column(batch.column(1))
+            raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(limits, limits[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["_id", "ids"])
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, T.StructType([rows.schema["_id"], T.StructField("ids", T.BinaryType())])).withColumnRenamed("_id", id_col)
@@ -370,14 +471,22 @@ def round_trip_digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(vocabulary)
-        decimal = {i: str(i) for i in v.tokens}
+        names = [v.tokens.get(i, "") for i in range(max(v.tokens) + 1)]
+        decimal, token = (pa.array([f" {x}" for x in of], pa.large_string()) for of in (range(len(names)), names))
+
+        def digests(of: pa.Array, ids: np.ndarray, limits: np.ndarray) -> Iterator[str]:
+            """Of each text's values, joined by one space: each value has one before it, the first one's is left out."""
+            begin = 0
+            while begin < len(limits) - 1:  # about a million values at a time
+                until = max(begin + 1, int(np.searchsorted(limits, limits[begin] + 1_000_000)) - 1)
+                data, offsets = _bytes_of(of.take(pa.array(ids[limits[begin] : limits[until]])))
+                at = offsets[limits[begin : until + 1] - limits[begin]].tolist()
+                yield from (hashlib.sha256(data[a + 1 : b]).hexdigest() for a, b in zip(at, at[1:], strict=False))
+                begin = until
+
         for batch in batches:
-            counts, ids, texts = [], [], []
-            for raw in v.encode_batch(batch.column(1).to_pylist()):
-                numbers = np.frombuffer(raw, "<u4").tolist()
-                counts.append(len(numbers))
-                ids.append(hashlib.sha256(" ".join([decimal[i] for i in numbers]).encode()).hexdigest())
-                texts.append(hashlib.sha256(v.decode(numbers).encode()).hexdigest())
+            found, limits = v.encode_column(batch.column(1))
+            counts, ids, texts = np.diff(limits), list(digests(decimal, found, limits)), list(digests(token, found, limits))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)], ["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

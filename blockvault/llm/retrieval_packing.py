@@ -149,7 +149,6 @@ def pack_by_retrieval(df: DataFrame, vocabulary: str, width: int = 4096, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = bpe.load(vocabulary)
-        end = int(end_id).to_bytes(4, "little")
         windows = Windows(width, TaskContext.get().partitionId() << 40)
         ids: list = []
         docs: list[np.ndarray] = []
@@ -165,9 +164,10 @@ def pack_by_retrieval(df: DataFrame, vocabulary: str, width: int = 4096, end_id:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names)
 
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), v.encode_batch(batch.column(1).to_pylist()), strict=True):
+            found, limits = v.encode_column(batch.column(1), end_id)
+            for doc, a, b in zip(batch.column(0).to_pylist(), limits, limits[1:], strict=False):
                 ids.append(doc)
-                docs.append(np.frombuffer(raw + end, "<u4"))
+                docs.append(found[a:b])
                 tokens += len(docs[-1])
                 if tokens >= SHARD_TOKENS:
                     pack_shard(ids, docs, windows)

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -40,6 +42,17 @@ def test_same_as_library(text):
 CACHE: dict = {}
 
 
+def test_marks_as_library(library):
+    """Every mark with a class, in contexts where it may be reordered or composed, and every composition."""
+    marks = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    contexts = ("a\u0301{}", "a{}\u0323", "a\u08e5{}", "a{}\u0345", "a\u0345{}", "a{}\u3099", "\u0915\u094d{}", "a{}\u0338", "a\u302a{}", "a{}\u0301")
+    texts = [c.format(m) for m in marks for c in contexts]
+    texts += [unicodedata.normalize("NFD", chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.decomposition(chr(c)) and not 0xAC00 <= c < 0xD7A4]
+    got = bpe.load(PATH).encode_batch(texts)
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if encoded(a) != b.ids] == []
+
+
 def test_long_and_short_trees_agree(library):
     rng = random.Random(2)
     for size in (1, 2, 63, 64, 65, 127, 128, 129, 3000):
