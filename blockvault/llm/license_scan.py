@@ -1,8 +1,8 @@
 """License scans in DataFrame operations alone: an exact set-similarity join with templates of licenses.
 
 Base labels come from phrases whose words stand consecutively.  Beside them, every block of text (a paragraph,
-or, where a text has no blank lines, a line together with the lines that a template may be wrapped over) is
-joined with the templates: the words of templates are ordered by how many blocks of the whole input that may
+or, where a text has no blank lines, a line; and each of them together with those that a template which begins in it
+may go on over) is joined with the templates: the words of templates are ordered by how many blocks of the whole input that may
 match hold them, the rarest first, and a block is compared with a template only
 if it has enough words (length filter), shares a word of both prefixes (prefix filter), and enough words can
 follow the first one that they share (positional filter).  What passes is verified by its whole overlap, so
@@ -96,35 +96,30 @@ def _base(rows: DataFrame) -> DataFrame:
     )
 
 
-def _held(text: Column, vocabulary: list[str]) -> Column:
-    return F.array_intersect(F.split(plain(text), " "), F.array(*[F.lit(w) for w in vocabulary]))
+def _held(plain_text: Column, vocabulary: list[str]) -> Column:
+    return F.array_intersect(F.split(plain_text, " "), F.array(*[F.lit(w) for w in vocabulary]))
 
 
-def _blocks(rows: DataFrame, sets: dict[str, list[str]], need: dict[str, int], span: int) -> DataFrame:
-    """A row for each block that may match: key, first and last place of the block, its distinct words of templates.
+def _blocks(texts: DataFrame, vocabulary: list[str], span: int) -> DataFrame:
+    """A row for each block of the texts: key, first and last place of the block, its distinct words of templates.
 
-    Only texts that as a whole hold enough words of a template are split, as no block holds more than they do.
-    Without a blank line, each line is a block, and another one goes on over the lines where ``span`` words from its
-    last one end.
+    The parts of a text are its paragraphs, or its lines if no line is blank.  Each is a block, and another one goes on
+    over the parts where ``span`` words from its last one end.
     """
     text, blank = F.col("_text"), r"\n[ \t\r]*\n"
-    vocabulary = sorted({w for words in sets.values() for w in words})
-    enough = [F.size(F.array_intersect("_words", F.array(*map(F.lit, sets[n])))) >= need[n] for n in sets]
-    able = rows.select("_id", "_hash", "_text", _held(text, vocabulary).alias("_words")).filter(reduce(or_, enough))
-    able = able.drop("_words").dropDuplicates(["_id", "_hash"])
-    split = lambda df, by: df.select("_id", "_hash", F.posexplode(F.split(text, by)).alias("_block", "_part")).withColumn("_words", _held(F.col("_part"), vocabulary))
-    place = ["_id", "_hash", "_block", "_until", "_words"]
-    paragraphs = split(able.filter(text.rlike(blank)), blank).withColumn("_until", F.col("_block"))
-    lines = split(able.filter(~text.rlike(blank)), r"\n")
-    # A line counts as span words at most, so that those after a long line are reached from it.
-    number = F.least(F.greatest(_spaces(plain(F.col("_part"))) - 1, F.lit(0).cast("long")), F.lit(span))
+    split = lambda df, by: df.select("_id", "_hash", F.posexplode(F.split(text, by)).alias("_block", "_part"))
+    parts = split(texts.filter(text.rlike(blank)), blank).union(split(texts.filter(~text.rlike(blank)), r"\n"))
+    parts = parts.withColumn("_plain", plain(F.col("_part"))).withColumn("_words", _held(F.col("_plain"), vocabulary))
+    # A part counts as span words at most, so that those after a long one are reached from it.
+    number = F.least(F.greatest(_spaces(F.col("_plain")) - 1, F.lit(0).cast("long")), F.lit(span))
     own = Window.partitionBy("_id", "_hash")
-    lines = lines.withColumn("_number", number).withColumn("_begin", F.sum("_number").over(own.orderBy("_block")) - F.col("_number"))
+    parts = parts.withColumn("_number", number).drop("_plain", "_part").withColumn("_begin", F.sum("_number").over(own.orderBy("_block")) - F.col("_number"))
     after = own.orderBy("_begin").rangeBetween(0, 2 * span)
-    lines = lines.withColumns({"_until": F.max("_block").over(after), "_more": F.array_distinct(F.flatten(F.collect_list("_words").over(after)))})
-    alone = lines.withColumn("_until", F.col("_block"))
-    wrapped = lines.filter(F.col("_until") > F.col("_block")).withColumn("_words", F.col("_more"))
-    return paragraphs.select(place).union(alone.select(place)).union(wrapped.select(place))
+    parts = parts.withColumns({"_until": F.max("_block").over(after), "_more": F.array_distinct(F.flatten(F.collect_list("_words").over(after)))})
+    alone = F.struct(F.col("_block").alias("_until"), F.col("_words"))
+    wider = F.struct(F.col("_until"), F.col("_more").alias("_words"))
+    found = F.when(F.col("_until") > F.col("_block"), F.array(alone, wider)).otherwise(F.array(alone))
+    return parts.select("_id", "_hash", "_block", F.inline(found))
 
 
 def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,8 +138,14 @@ def license_scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold
     vocabulary = sorted({w for words in sets.values() for w in words})
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_hash", F.xxhash64("_text"))
-    base = _base(rows.withColumn("_plain", plain(F.col("_text")))).drop("_plain", "_text")
-    blocks = cut(_blocks(rows, sets, need, span).filter(F.size("_words") >= min(need.values())))
+    # One pass over the texts: only those that as a whole hold enough words of a template go on, as no block of a text
+    # holds more than it does.
+    seen = _base(rows.withColumn("_plain", plain(F.col("_text")))).withColumn("_words", _held(F.col("_plain"), vocabulary))
+    able = reduce(or_, [F.size(F.array_intersect("_words", F.array(*map(F.lit, sets[n])))) >= need[n] for n in sets])
+    base = cut(seen.withColumn("_text", F.when(able, F.col("_text"))).drop("_plain", "_words"))
+    texts = base.filter(F.col("_text").isNotNull()).select("_id", "_hash", "_text").dropDuplicates(["_id", "_hash"])
+    blocks = cut(_blocks(texts, vocabulary, span).filter(F.size("_words") >= min(need.values())))
+    base = base.drop("_text")
 
     # One row for each word of a template at most, whatever the size of the input.
     often = {r[0]: r[1] for r in blocks.select(F.explode("_words").alias("word")).groupBy("word").count().collect()}

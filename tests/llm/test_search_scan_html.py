@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ def vectors(n=400, seed=1):
     return rows
 
 
-def brute_top(rows, k, every):
-    good = [(i, [int(np.floor(1024 * x)) for x in np.float32(v).astype(float)]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+def brute_top(rows, k, every, kind=np.float32):
+    good = [(i, [int(np.floor(1024 * x)) for x in np.array(v, kind).astype(float)]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     asked = {}
     for i, v in good:
         if i % every == 0:
@@ -72,6 +73,37 @@ def test_tree_with_large_numbers_is_exact():
     assert tree.search(3, q, 5) == [(-s, i) for s, i in want]
 
 
+def test_components_of_any_size(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([1e300, -1e300, 2e15, -3e15, 1.5, -0.25, 0.0]) for _ in range(4)]) for i in range(120)]
+    limit = lambda x: min(max(x, M.LEAST), M.MOST)
+    whole = [(i, [limit(int(np.floor(1024 * x))) for x in v]) for i, v in rows]
+    want = set()
+    for q, u in whole[::20]:
+        scored = sorted((-limit(sum(a * b for a, b in zip(u, v, strict=True))), i) for i, v in whole if i != q)
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:10])}
+    got = M.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_queries_go_to_few_cells_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(40, 12)), 50, axis=0) + rng.normal(size=(2000, 12)) * 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    rows += [(5000 + i, rows[0][1]) for i in range(1000)]  # a third of all rows are alike
+    monkeypatch.setattr(M, "TREE_ROWS", 50)
+    got = M.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert {tuple(r) for r in got} == brute_top(rows, 10, 20, float)
+    # What the bounds allow: the tenth score of each query within its own cell.
+    v = np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64)
+    top = M.TopPage(v[::50].tolist(), float((v * v).sum(axis=1).max()))
+    cell, distance = top.nearest(v.tolist())
+    radii = np.array([distance[cell == c].max(initial=0) for c in range(len(top.x))])
+    asked = range(0, 2000, 20)
+    limits = [int(np.sort(v[cell == cell[q]] @ v[q])[-11:][0]) for q in asked]
+    assert top.reach(v[::20][:100].tolist(), limits, radii).mean() < 0.2
+
+
 LICENSED = [
     (200, "Intro.\nReleased under the MIT License.\nEnd", "en"),
     (201, "mit license mit license MIT-LICENSE apache  license", "en"),
@@ -143,6 +175,27 @@ def test_wrapped_notices_without_blank_lines(spark):
     assert got[100] == ({"bsd"}, 1.0) and got[101] == (set(), 0.0)
 
 
+def test_notices_in_comments_and_over_blank_lines(spark):
+    import textwrap
+
+    rows, names = [], ["mit", "apache", "bsd", "isc", "mpl", "lgpl"]
+    for n in names:
+        lines = textwrap.wrap(" ".join(S.TEMPLATES[n].split()), 60)
+        half = len(lines) // 2
+        rows.append((len(rows), "\n".join(["#!/bin/sh", *(f"# {x}" for x in lines), "echo"]), "en"))
+        rows.append((len(rows), "\n".join([*lines[:half], "", *lines[half:], "", "The end"]), "en"))
+        rows.append((len(rows), "\n".join(["/*", *(f" * {x}" for x in lines[:half]), " *", *(f" * {x}" for x in lines[half:]), " */", "", "int x;"]), "en"))
+    got = {r["doc_id"]: (set(r["labels"].split(",")), r["score"]) for r in S.license_scan(frame(spark, rows)).collect()}
+    assert all(names[i // 3] in labels and score == 1.0 for i, (labels, score) in got.items())
+
+
+def test_text_of_many_blocks(spark):
+    lines = [f"word{i % 50} of line {i}" for i in range(20_000)]
+    lines.insert(15_000, " ".join(S.TEMPLATES["bsd"].split()))
+    got = S.license_scan(frame(spark, [(1, "\n".join(lines), "en"), (2, "\n\n".join(lines), "en")])).collect()
+    assert {(r["labels"], r["score"], r["n_words"]) for r in got} == {("bsd", 1.0, 80_000 + len(words(S.TEMPLATES["bsd"])))}
+
+
 def test_two_notices_in_one_block(spark):
     cut = " ".join(S.TEMPLATES["isc"].split()).replace("without fee ", "without ").replace("any purpose", "any")
     rows = [(1, " ".join(S.TEMPLATES["mit"].split()) + " " + cut, "en")]
@@ -178,6 +231,33 @@ def test_second_pass_without_an_article():
     assert H.extract(page).split("\n") == ["Heading", prose, "short", prose]
 
 
+PROSE = "This is the text of the page, and it has what all of the others have in it: words that are there for the sake of the others, as they were."
+
+
+def test_names_that_only_seem_to_exclude():
+    for name in ("content has-sidebar", "main-content no-sidebar", "post with-share", "hidden-print content", "story social-post", "share-post", "nav"):
+        assert H.extract(f'<body><div class="{name}"><p>{PROSE}</p><p>{PROSE}</p></div></body>').split("\n") == [PROSE, PROSE]
+    for name in ("cookie-notice", "sidebar", "sidebar-left", "ad-slot", "sidebarRight", "related-posts", "site-footer", "post-comments", "share-buttons"):
+        assert H.extract(f'<body><p>{PROSE}</p><div class="{name}"><p>{PROSE}</p></div><p>{PROSE}</p></body>').split("\n") == [PROSE, PROSE]
+
+
+def test_inline_parts_that_are_left_out():
+    page = f'<article><p>{PROSE} <span class="ad">Buy <b class=x>now</b></span>And then more.</p><p><em hidden>secret</em>Last.</p></article>'
+    assert H.extract(page).split("\n") == [f"{PROSE} And then more.", "Last."]
+
+
+def test_other_languages():
+    text = "Сегодня утром мы пошли в лес, чтобы собрать грибы и ягоды. На опушке стоял старый дом, в котором давно никто не жил."
+    page = f"<body><ul><li><a href=a>Главная</a></li><li><a href=b>Новости</a></li></ul><p>{text}</p><p>{text}</p><p><a href=c>Все новости этого сайта и другие страницы того же раздела</a></p></body>"
+    assert H.extract(page).split("\n") == [text, text]
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    assert H.extract("<article>" + "<div><b class=x>" * 100_000 + "deep" + "</b></p></div></i>" * 100_000) == "deep"
+    assert time.process_time() - began < 10
+
+
 def test_broken_pages():
     assert H.extract(None) == H.extract("") == H.extract("<") == H.extract("<script>the of and") == ""
     assert H.extract("<article><p>cut off in the mid") == "cut off in the mid"
