@@ -4,12 +4,17 @@ A page becomes a row of blocks: what stands between block-level tags.  The first
 density of stop words, their length and the share of their characters inside links, and by what encloses
 them: menus, forms, adverts and the like are never main text.  The second pass gives each block that stayed
 undecided (short, or of middling density) the label of its nearest decided neighbours.
+
+Elements and roles tell for certain what encloses a block; names of classes are a hint, which counts only for as
+long as a page without an article has main text outside them.  On a page whose text as a whole has hardly a stop word
+that is known here, density cannot tell: sentences are taken for dense there.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,76 +48,129 @@ _RAW = frozenset("script style title textarea noscript template iframe svg math
 _NEVER = frozenset("nav footer aside form menu dialog search datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
 _NAMES = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner sidebar sidenav menu submenu nav navbar
+    """ad ads adv advert adverts advertisement advertising adsense sponsor promo promos promotion banner sidebar sidenav menu submenu nav navbar
     navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup signin login
-    comment comments commentlist disqus respond replies share sharing sharebar social related recommended recommendations widget widgets toolbar pagination pager
-    copyright skip hidden invisible""".split()
+    share sharing sharebar social recommendations widget widgets toolbar pagination pager copyright skip hidden invisible""".split()
+)
+_COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: First parts of names that say what a part of a page is, whatever follows them.
+_KINDS = frozenset("related recommended sponsored promoted".split())
+#: First parts of names that tell of something else, as in "has-sidebar"; last parts that tell nothing, as in "menu-left".
+_OF_OTHERS = frozenset("no not has have with without is show hide js".split())
+_PLACES = frozenset(
+    "area bar block bottom box button buttons container group icons inner item items label left link links list outer panel right section slot text top unit wrap wrapper zone".split()
 )
 #: These name parts of a page, but inside an article parts of the article.
 _OUTER = frozenset("header footer masthead topbar bottom legal".split())
+_CONTENT = frozenset("article post entry content story".split())
 _OPEN = frozenset("article main".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[^\W\d_]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: What ends a sentence in most scripts: fixed values.
+_SENTENCE = re.compile(r"[.!?\u061f\u06d4\u0964\u3002\uff01\uff1f\u037e\u0589]")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]).*?(?:>|\Z)", re.S | re.I) for name in _RAW}
 
 
 class Block:
-    __slots__ = ("parts", "linked", "never", "inside", "heading", "text", "label")
+    __slots__ = ("parts", "linked", "never", "hint", "inside", "heading", "text", "stops", "words")
 
-    def __init__(self, never: bool, inside: bool, heading: bool):
+    def __init__(self, never: bool, hint: bool, inside: bool, heading: bool):
         self.parts: list[str] = []
-        self.linked, self.never, self.inside, self.heading = 0, never, inside, heading
+        self.linked, self.never, self.hint, self.inside, self.heading = 0, never, hint, inside, heading
+
+
+def _named(value: str, inside: bool) -> str:
+    """What the names of a class or id say: "comments", "name" or nothing.  The last part of a name is what it names."""
+    said = ""
+    for token in value.split():
+        parts = [x.lower() for x in _PART.findall(token) if len(x) > 1]
+        if not parts or len(parts) > 1 and parts[0] in _OF_OTHERS:
+            continue
+        kind = len(parts) > 1 and parts[0] in _KINDS
+        outer = not inside and _CONTENT.isdisjoint(parts)
+        while len(parts) > 1 and parts[-1] in _PLACES:
+            parts.pop()
+        if parts[-1] in _COMMENTS:
+            return "comments"
+        if kind or parts[-1] in _NAMES or parts[-1] in _KINDS or outer and parts[-1] in _OUTER:
+            said = "name"
+    return said
 
 
 def _excluded(name: str, attributes: str, inside: bool) -> str:
-    """Why what the element holds is no main text: "comments", another reason, or nothing."""
+    """Why what the element holds is no main text: "comments", "name", another reason, or nothing."""
     if name in _NEVER or name == "header" and not inside:
         return name
     if not attributes:
         return ""
-    found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
-    words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    if name not in ("body", "html"):
-        if words & {"comment", "comments", "commentlist", "disqus", "respond", "replies"}:
-            return "comments"
-        if words & _NAMES or not inside and words & _OUTER and not words & {"article", "post", "entry", "content"}:
-            return "name"
-        if found.get("role") in _ROLES:
-            return "role"
-    style = found.get("style", "").replace(" ", "")
-    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
+    found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
+    said = "" if name in ("body", "html") else _named(f"{found.get('class', '')} {found.get('id', '')}", inside)
+    if said == "comments":
+        return said
+    if found.get("role", "").lower() in _ROLES and name not in ("body", "html"):
+        return "role"
+    style = found.get("style", "").lower().replace(" ", "")
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
         return "hidden"
-    return ""
+    return said
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open block-level elements, and why their text is left out
-    never = links = inside = 0
-    block = Block(False, False, False)
+    stack: list[tuple[str, str, bool]] = []  # open elements that count, why their text is left out, whether they are inline
+    opened: Counter[str] = Counter()  # how many of them have a name
+    why: Counter[str] = Counter()  # how many of them are left out for a reason
+    links = inside = dropped = 0
+    block = Block(False, False, False, False)
     at = 0
 
     def add(text: str) -> None:
+        if dropped:
+            return
         if "&" in text:
             text = html.unescape(text)
         block.parts.append(text)
         if links:
             block.linked += len("".join(text.split()))
 
+    def out_for() -> int:
+        return len(stack) - why[""]
+
     def turn(name: str = "") -> None:
         nonlocal block
         block.text = " ".join("".join(block.parts).split())
         if block.text:
+            words = _WORD.findall(block.text.lower())
+            block.stops, block.words = sum(map(STOP_WORDS.__contains__, words)), len(words)
             out.append(block)
-        block = Block(never > 0, inside > 0, len(name) == 2 and name[0] == "h" and name[1] in "123456")
+        block = Block(out_for() > why["name"], why["name"] > 0, inside > 0, len(name) == 2 and name[0] == "h" and name[1] in "123456")
+
+    def push(name: str, reason: str, inline: bool = False) -> None:
+        nonlocal inside, dropped
+        stack.append((name, reason, inline))
+        opened[name] += 1
+        why[reason] += 1
+        inside += name in _OPEN
+        dropped += inline
 
     def pop() -> None:
-        nonlocal never, inside
-        name, why = stack.pop()
-        never -= bool(why)
+        nonlocal inside, dropped
+        name, reason, inline = stack.pop()
+        opened[name] -= 1
+        why[reason] -= 1
         inside -= name in _OPEN
+        dropped -= inline
+
+    def close(name: str) -> bool:
+        if not opened[name]:
+            return False
+        while stack[-1][0] != name:
+            pop()
+        pop()
+        return True
 
     while match := _TOKEN.search(page, at):
         if match.start() > at:
@@ -125,16 +183,10 @@ def blocks(page: str) -> list[Block]:
             if name == "a":
                 links = 0
             elif name in _BLOCKS:
-                if any(x == name for x, _ in stack):
-                    while stack[-1][0] != name:
-                        pop()
-                    pop()
+                close(name)
                 turn()
-            elif any(x == name for x, _ in stack):  # an inline element that was left out
-                while stack[-1][0] != name:
-                    pop()
-                pop()
-                block.never = never > 0
+            else:  # an inline element that was left out, or nothing
+                close(name)
         elif name in _RAW:
             if not match[3].endswith("/") or name in ("script", "style", "title", "textarea"):
                 end = _ENDS[name].search(page, at)
@@ -146,35 +198,30 @@ def blocks(page: str) -> list[Block]:
         elif name == "a":
             links = 1
         elif name in _BLOCKS:
-            if name in _OPEN and never and not any(why == "comments" for _, why in stack):
-                while never:  # an article does not stand in a menu or advert, so that was not closed
+            if name in _OPEN and not why["comments"]:
+                while out_for():  # an article does not stand in a menu or advert, so that was not closed
                     pop()
             if stack and stack[-1][0] == "p" or stack and stack[-1][0] == name and name in ("li", "dd", "dt", "td", "th", "tr", "option"):
                 pop()
             links = 0
             if name != "hr":
-                why = _excluded(name, match[3], inside > 0)
-                stack.append((name, why))
-                never += bool(why)
-                inside += name in _OPEN
+                push(name, _excluded(name, match[3], inside > 0))
             turn(name)
         elif match[3] and not match[3].endswith("/") and name in ("span", "b", "i", "em", "strong", "small", "font", "ins", "del", "label"):
-            if why := _excluded(name, match[3], inside > 0):
-                turn()
-                stack.append((name, why))
-                never += 1
-                block.never = True
+            if reason := _excluded(name, match[3], inside > 0):
+                push(name, reason, True)  # the block goes on behind it
     add(page[at:])
     turn()
     return out
 
 
-def _first_pass(block: Block) -> str:
+def _first_pass(block: Block, known: bool) -> str:
     size = len(block.text)
     if block.never or block.linked > LINKS * len(block.text.replace(" ", "")):
         return "bad"
-    words = _WORD.findall(block.text.lower())
-    dense = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    dense = block.stops / max(block.words, 1)
+    if not known and _SENTENCE.search(block.text):
+        dense = HIGH
     if size > LONG and dense >= HIGH:
         return "good"
     if size > SHORT and not block.heading:
@@ -189,7 +236,15 @@ def _first_pass(block: Block) -> str:
 def extract(page: str | None) -> str:
     """The page's main text: its good blocks joined by line feeds."""
     found = blocks(page or "")
-    first = [_first_pass(b) for b in found]
+    able = [b for b in found if not b.never]
+    known = sum(b.stops for b in able) >= LOW * sum(b.words for b in able)
+    hints = [b.hint for b in found]
+    # Hints do not count where they would leave a page without an article without main text.
+    if any(hints) and not any(b.inside for b in found) and not any(_first_pass(b, known) == "good" for b in able if not b.hint):
+        hints = [False] * len(found)
+    for b, hint in zip(found, hints, strict=True):
+        b.never = b.never or hint
+    first = [_first_pass(b, known) for b in found]
     # An article's edges count as good neighbours inside it; blocks that are never main text are no neighbours there.
     before, last = [], {True: "good", False: "bad"}
     for b, label in zip(found, first, strict=True):
