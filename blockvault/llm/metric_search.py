@@ -1,14 +1,16 @@
 """Exact top-k search by inner product with M-trees.
 
-Vectors of integers become points of a metric space: with M the largest norm of a tree's vectors, x becomes
+Vectors of integers become points of a metric space: with M the largest norm of all vectors, x becomes
 (x, sqrt(M^2 - |x|^2)) and a query q becomes (q, 0), so that the squared Euclidean distance is
-|q|^2 + M^2 - 2 q.x and nearest means highest product.  All rows are dealt to trees of bounded size.  A node is a
-page: the vectors of its routing objects, their covering radii, their distances to the node's own routing
-object.  A search takes pages from a heap, the least possible distance first, and computes the distance of an
-entry only if the triangle inequality with the parent's distance leaves room for it.  Bounds have some slack
-for rounding; scores are exact integers, so ties go to the smaller id.
+|q|^2 + M^2 - 2 q.x and nearest means highest product.  A top page of at most ``PIVOTS`` sampled points deals all
+rows to cells by their nearest pivot; a cell is one tree, or, if it has many rows, several trees of bounded size.
+A node of a tree is a page: the vectors of its routing objects, their covering radii, their distances to the
+node's own routing object.  A search takes pages from a heap, the least possible distance first, and computes the
+distance of an entry only if the triangle inequality with the parent's distance leaves room for it.  A query goes to
+the nearest cell first; what it finds there bounds the others that it goes to, by their pivots and radii.  Bounds have
+some slack for rounding; scores are exact integers, so ties go to the smaller id.
 
-Queries meet trees in blocks, each block of queries once with each tree.
+Queries meet trees in blocks, each block of queries once with each tree that it needs.
 """
 
 from __future__ import annotations
@@ -24,17 +26,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 #: Rows of a tree and of a block of queries, on average; entries of a page.
 TREE_ROWS, BLOCK_ROWS = 8192, 1024
 LEAF, FAN = 256, 32
+#: Points of the top page, at most.
+PIVOTS = 1024
+#: Scores beyond 64 bits are the last that 64 bits hold.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Beyond this, products of doubles might not be exact integers.
 EXACT = 1 << 53
 
 
 def whole_numbers(vector: Column) -> Column:
-    """floor(1024 * x) of each component; null where the vector or a component is null or not finite."""
+    """floor(1024 * x) of each component, within 64 bits; null where the vector or a component is null or not finite."""
     v = vector.cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(v.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(v, lambda x: F.floor(F.lit(1024.0) * x)))
@@ -56,15 +62,53 @@ def _fit(x: np.ndarray, width: int) -> np.ndarray:
     return x[:, :width] if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
+def _points(x: np.ndarray, most: float) -> np.ndarray:
+    f = x.astype(np.float64)
+    return np.column_stack([f, np.sqrt(np.maximum(most - (f * f).sum(axis=1), 0))])
+
+
+def _slack(base: np.ndarray | float) -> np.ndarray | float:
+    return 1e-7 * np.sqrt(base + 1) + 1e-6
+
+
+class TopPage:
+    """The pivots of the cells, and, once they are known, the cells' radii."""
+
+    def __init__(self, pivots: list, most: float):
+        self.x, self.most = _matrix(pivots), most
+
+    def nearest(self, vectors: list) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector and its distance to the cell's pivot."""
+        x = _matrix(vectors)
+        width = max(x.shape[1], self.x.shape[1])
+        x, pivots = (_points(_fit(y, width), self.most) for y in (x, self.x))
+        cell = (-2 * x @ pivots.T + (pivots * pivots).sum(axis=1)).argmin(axis=1)
+        return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
+
+    def reach(self, vectors: list, limits: list, radii: np.ndarray) -> np.ndarray:
+        """For each query (row) and cell whether the cell may hold a row of at least the score ``limit``."""
+        q = _matrix(vectors)
+        width = max(q.shape[1], self.x.shape[1])
+        q, pivots = _fit(q, width).astype(np.float64), _fit(self.x, width).astype(np.float64)
+        base = ((q * q).sum(axis=1) + self.most)[:, None]
+        distance = np.sqrt(np.maximum(base - 2 * q @ pivots.T, 0))
+        least = np.array([-np.inf if x is None or x == LEAST else float(x) for x in limits])[:, None]
+        return (distance - radii - 2 * _slack(base) <= np.sqrt(np.maximum(base - 2 * least, 0))) & (radii >= 0)  # empty cells have none
+
+
 class MTree:
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, most: float | None = None):
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        f = x.astype(np.float64)
-        norms = (f * f).sum(axis=1)
-        self.most = float(norms.max(initial=0.0))
-        self.largest = int(np.abs(x).max(initial=0))
-        points = np.column_stack([f, np.sqrt(np.maximum(self.most - norms, 0))])
+        if most is None:
+            f = x.astype(np.float64)
+            most = float((f * f).sum(axis=1).max(initial=0.0))
+        self.most, self.largest = most, _largest(x)
+        points = _points(x, most)
         # A page: (begin, end) of its rows if it is a leaf, else the rows of its routing objects; distances of its
         # entries to the page's own routing object; radii and pages of its children, if any.
         self.pages: list[tuple] = []
@@ -106,15 +150,18 @@ class MTree:
         self.doubles = self.x.astype(np.float64)
         self.routing = [None if r is None else r.astype(np.float64) for _, r, *_ in self.pages]
 
-    def search(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id, of all rows but the query's own."""
+    def search(self, own: int, q: np.ndarray, k: int, limit: int | None = None, within: bool = False) -> list[tuple[int, int]]:
+        """The k best (score, id), ties to the smaller id, of all rows but the query's own; with a ``limit``, rows of
+        lower scores may be missing; with ``within``, scores stay within 64 bits."""
         q = _fit(q[None, :], self.x.shape[1])[0]
         f = q.astype(np.float64)
-        exact = max(self.largest, 1) * int(np.abs(q).max(initial=0)) * max(len(q), 1) < EXACT
+        exact = max(self.largest, 1) * _largest(q) * max(len(q), 1) < EXACT
         base = float((f * f).sum()) + self.most
-        slack = 1e-7 * math.sqrt(base + 1) + 1e-6
+        slack = _slack(base)
+        reached = lambda score: math.inf if score == LEAST else math.sqrt(max(base - 2.0 * score, 0.0)) + slack
+        held = (lambda x: min(max(x, LEAST), MOST)) if within else int
         best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst first
-        bound = math.inf
+        bound = start = math.inf if limit is None else reached(limit)
         heap: list[tuple[float, float, int]] = [(0.0, math.nan, self.root)]
         self.computed = 0
         while heap:
@@ -131,7 +178,7 @@ class MTree:
             if children is None:
                 begin, end = rows
                 part = slice(begin, end) if 2 * len(may) > end - begin else begin + may
-                scores = self.doubles[part] @ f if exact else np.array([sum(map(int.__mul__, r, q.tolist())) for r in self.x[part].tolist()], object)
+                scores = self.doubles[part] @ f if exact else np.array([held(sum(map(int.__mul__, r, q.tolist()))) for r in self.x[part].tolist()], object)
                 others = self.ids[part] != own
                 scores, ids = scores[others], self.ids[part][others]
                 least = best[0][0] if len(best) == k else np.sort(scores)[-k] if len(scores) > k else -math.inf
@@ -143,7 +190,7 @@ class MTree:
                     elif entry > best[0]:
                         heapq.heapreplace(best, entry)
                 if len(best) == k:
-                    bound = math.sqrt(max(base - 2 * best[0][0], 0.0)) + slack
+                    bound = min(start, reached(best[0][0]))
             else:
                 distances = np.sqrt(np.maximum(base - 2 * (self.routing[page][may] @ f), 0))
                 floors = np.maximum(distances - radii[may] - slack, 0)
@@ -157,7 +204,8 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", v
 
     ``queries`` is a condition that picks the query rows of ``df``.  Vectors that are null or hold null or
     non-finite components, and rows with a null id, take no part; missing components of shorter vectors count
-    as 0.  A query whose id is repeated is asked once, with the least of its vectors; candidates that repeat an
+    as 0.  Components and scores beyond 64 bits are the least or greatest number of 64 bits; such scores are ties.
+    A query whose id is repeated is asked once, with the least of its vectors; candidates that repeat an
     id are candidates each.  Ties go to the smaller id.  An empty table gives an empty result; other columns are
     not read.  Ids are integers.
     """
@@ -165,37 +213,70 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", v
     small_batches(spark)
     rows = df.withColumn("_query", F.coalesce(queries, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), "_query", whole_numbers(F.col(vector_col)).alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    sizes = rows.agg(F.count(F.lit(1)), F.sum(F.col("_query").cast("long"))).first()
-    n_trees, n_blocks = max(1, math.ceil(sizes[0] / TREE_ROWS)), max(1, math.ceil((sizes[1] or 0) / BLOCK_ROWS))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    sizes = rows.agg(F.count(F.lit(1)), F.sum(F.col("_query").cast("long")), F.max(norm)).first()
+    n_cells, n_blocks = min(PIVOTS, max(1, math.ceil(sizes[0] / TREE_ROWS))), max(1, math.ceil((sizes[1] or 0) / BLOCK_ROWS))
+    sample = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id", "v").limit(n_cells).collect()  # PIVOTS rows at most
+    top = TopPage([r["v"] for r in sample] or [[]], sizes[2] or 0.0)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell, distance = top.nearest(batch.column("v").to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(distance)], ["id", "_query", "v", "cell", "distance"])
+
+    dealt = cut(rows.mapInArrow(deal, "id long, _query boolean, v array<long>, cell int, distance double"))
+    cells = {r[0]: r for r in dealt.groupBy("cell").agg(F.count(F.lit(1)), F.max("distance")).collect()}  # a row for each pivot
+    radii = np.array([cells[c][2] if c in cells else -1.0 for c in range(len(top.x))])
+    number = [math.ceil(cells[c][1] / TREE_ROWS) if c in cells else 0 for c in range(len(top.x))]
+    first = [sum(number[:c]) for c in range(len(number))]
+    at = lambda of, cell: F.element_at(F.array(*map(F.lit, of)), cell + 1)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = MTree(rows["id"].to_numpy(np.int64), _matrix(rows["v"].tolist()))
+        tree = MTree(rows["id"].to_numpy(np.int64), _matrix(rows["v"].tolist()), top.most)
         return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "page": [pickle.dumps(tree, 5)]})
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        return pd.DataFrame({"asked": [pickle.dumps((rows["id"].tolist(), _matrix(rows["v"].tolist())), 5)]})
-
-    trees = rows.withColumn("tree", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_trees)).cast("int")).groupBy("tree").applyInPandas(build, "tree int, page binary")
-    asked = rows.filter("_query").groupBy("id").agg(F.min("v").alias("v"))
-    asked = asked.groupBy(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n_blocks)).alias("block")).applyInPandas(gather, "asked binary")
-    # A block of queries goes to every tree; trees do not move.
-    pairs = asked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).join(trees, "tree").select("page", "asked")
+        limits = [None if pd.isna(x) else int(x) for x in rows["bound"]]
+        return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "asked": [pickle.dumps((rows["id"].tolist(), _matrix(rows["v"].tolist()), limits), 5)]})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, block in zip(batch.column("page"), batch.column("asked"), strict=True):
                 tree = pickle.loads(page.as_py())
                 tree.prepare()
-                ids, vectors = pickle.loads(block.as_py())
-                found = [(q, i, s) for q, v in zip(ids, vectors, strict=True) for s, i in tree.search(q, v, k)]
+                found = [(q, i, s) for q, v, limit in zip(*pickle.loads(block.as_py()), strict=True) for s, i in tree.search(q, v, k, limit, True)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "id", "score"])
 
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                may = top.reach(batch.column("v").to_pylist(), batch.column("bound").to_pylist(), radii)
+                may[np.arange(len(may)), batch.column("cell").to_numpy()] = False  # that is done
+                others = pa.array([np.flatnonzero(m).astype(np.int32) for m in may], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("bound"), others], ["id", "v", "bound", "cells"])
+
+    tree = at(first, F.col("cell")) + F.pmod(F.xxhash64("id", F.lit(1)), at(number, F.col("cell"))).cast("int")
+    trees = cut(dealt.withColumn("tree", tree).groupBy("tree").applyInPandas(build, "tree int, page binary"))
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """What queries (id, v, cell, bound) find in all trees of a cell."""
+        own = F.explode(F.sequence(at(first, F.col("cell")), at(first, F.col("cell")) + at(number, F.col("cell")) - 1))
+        block = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(n_blocks))
+        blocks = asked.select("id", "v", "bound", own.alias("tree")).groupBy("tree", block.alias("block")).applyInPandas(gather, "tree int, asked binary")
+        return blocks.join(trees, "tree").select("page", "asked").mapInArrow(search, "query_id long, id long, score long")
+
     from pyspark.sql.window import Window
 
-    found = pairs.mapInArrow(search, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = dealt.filter("_query").groupBy("id").agg(F.min(F.struct("v", "cell")).alias("x")).select("id", "x.v", "x.cell")
+    near = cut(best(searched(asked.withColumn("bound", F.lit(None).cast("long")))))
+    known = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    others = asked.join(known, "id", "left").select("id", "v", "cell", "bound").mapInArrow(reach, "id long, v array<long>, bound long, cells array<int>")
+    rest = searched(others.select("id", "v", "bound", F.explode("cells").alias("cell")))
+    return best(near.drop("rank").union(rest)).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 ORACLE = """
