@@ -1,9 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from blockvault.llm import language, quality, simhash
+from blockvault.llm import language, quality
 from blockvault.llm import queries as Q
 from blockvault.llm.common import read_table
 
@@ -57,8 +59,12 @@ def test_stages_by_brute_force(spark):
     want = set(first.values())
     assert {r["doc_id"] for r in df.collect()} == want
 
-    fps = {i: simhash.fingerprint(text[i]) for i in want}
-    same = components(sorted(want), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    def shingles(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(text[i]) for i in want}
+    same = components(sorted(want), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
     df = stage(3, df)
     want = {i for i, c in same.items() if i == c}
     assert df.columns == columns and {(r["doc_id"], r["text"]) for r in df.collect()} == {(i, text[i]) for i in want}
