@@ -24,26 +24,33 @@ from ..schema import CorruptData
 PART_HEADER = "X-ABL-ID"
 
 
+_MARKED = re.compile(rb"(?im)^" + PART_HEADER.encode() + rb":[ \t]*([^\r\n]*?)[ \t]*\r?\n")
+_ENCODING = re.compile(rb"(?im)^Content-Transfer-Encoding:[ \t]*([-\w]+)")
+_ENCODERS = {b"base64": base64.encodebytes, b"quoted-printable": quopri.encodestring}
+
+
 def build_eml(skeleton: bytes, fragments: Mapping[str, bytes]) -> bytes:
     """A mail from its skeleton and the bodies of its parts, matched by the id in the part's header, never by place.
 
-    A body is encoded as its part says; the header goes.  A part whose id has no fragment keeps an empty body.
+    The skeleton's bytes stay as they are but for that header, which goes, and the body behind the part's blank line,
+    which is encoded as the part says.  A part whose id has no fragment stays as it is.
     """
-    message = email.message_from_bytes(skeleton, policy=email.policy.compat32)
-    for part in message.walk():
-        ident = part.get(PART_HEADER)
-        if ident is None or ident.strip() not in fragments:
+    out, at = [], 0
+    for mark in _MARKED.finditer(skeleton):
+        body = fragments.get(mark[1].decode("utf-8", "replace"))
+        if body is None or mark.start() < at:
+            continue
+        blank = re.compile(rb"\r?\n(\r?\n|\Z)").search(skeleton, mark.end() - 2)
+        if blank is None:
             continue
-        body, encoding = fragments[ident.strip()], (part.get("Content-Transfer-Encoding") or "").strip().lower()
-        if encoding == "base64":
-            text = base64.encodebytes(body).decode()
-        elif encoding == "quoted-printable":
-            text = quopri.encodestring(body).decode()
-        else:
-            text = body.decode("ascii", "surrogateescape")
-        part.set_payload(text)
-        del part[PART_HEADER]
-    return message.as_bytes()
+        head = max(skeleton.rfind(b"\n--", 0, mark.start()), 0)
+        encoding = _ENCODING.search(skeleton, head, blank.end())
+        end = skeleton.find(b"\n--", blank.end() - 1)
+        end = len(skeleton) if end < 0 else end - (skeleton[end - 1 : end] == b"\r")
+        encoded = _ENCODERS.get(encoding[1].lower() if encoding else b"", bytes)(body)
+        out += [skeleton[at : mark.start()], skeleton[mark.end() : blank.end()], encoded, b"\r\n" if encoded[-1:] != b"\n" and skeleton[end:].startswith(b"\n") else b""]
+        at = max(end, blank.end())
+    return b"".join([*out, skeleton[at:]])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -137,20 +144,21 @@ def ics(metadata: pd.Series, event_id: pd.Series) -> pd.Series:
 
 # -- contacts and list rows ------------------------------------------------------------------------------------
 
-#: Columns of the contact file that mail programs import, and the metadata's paths for them: fixed values.
+#: Columns of the contact file that mail programs import, and the paths in the metadata's client part for them: fixed values.
 CONTACT_COLUMNS = (
-    ("First Name", "$.givenName"), ("Middle Name", "$.middleName"), ("Last Name", "$.surname"), ("Title", "$.title"), ("Company", "$.companyName"),
-    ("Department", "$.department"), ("Job Title", "$.jobTitle"), ("Business Phone", "$.businessPhones[0]"), ("Home Phone", "$.homePhones[0]"),
-    ("Mobile Phone", "$.mobilePhone"), ("E-mail Address", "$.emailAddresses[0].address"), ("E-mail 2 Address", "$.emailAddresses[1].address"),
-    ("E-mail 3 Address", "$.emailAddresses[2].address"), ("Birthday", "$.birthday"), ("Notes", "$.personalNotes"),
+    ("First Name", "givenName"), ("Middle Name", "middleName"), ("Last Name", "surname"), ("E-mail Address", "emailAddresses[0].address"), ("Business Phone", "businessPhones[0]"),
+    ("Home Phone", "homePhones[0]"), ("Mobile Phone", "mobilePhone"), ("Job Title", "jobTitle"), ("Company", "companyName"), ("Business Street", "businessAddress.street"),
+    ("Business City", "businessAddress.city"), ("Business State", "businessAddress.state"), ("Business Postal Code", "businessAddress.postalCode"),
+    ("Business Country/Region", "businessAddress.countryOrRegion"), ("Notes", "personalNotes"),
 )
 
 
 def contact_csv(metadata: Column) -> Column:
-    """A contact as a file of two rows: byte order mark, all fields quoted, CRLF; missing fields are empty."""
+    """A contact, from its object's metadata, as a file of two rows: byte order mark, all fields quoted, CRLF; missing
+    fields are empty."""
     quote = lambda x: F.concat(F.lit('"'), F.replace(F.coalesce(x, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     head = ",".join(f'"{name}"' for name, _ in CONTACT_COLUMNS)
-    row = F.concat_ws(",", *[quote(F.get_json_object(metadata, path)) for _, path in CONTACT_COLUMNS])
+    row = F.concat_ws(",", *[quote(F.get_json_object(metadata, f"$.client_metadata.{path}")) for _, path in CONTACT_COLUMNS])
     return F.concat(F.lit("\ufeff" + head + "\r\n"), row, F.lit("\r\n"))
 
 

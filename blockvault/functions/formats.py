@@ -47,12 +47,19 @@ def epoch_timestamp(value: Column) -> Column:
     return F.when(e.between(-62135596800, 253402300799), F.timestamp_seconds(e))
 
 
-def recurrence_rule(pattern: Column) -> Column:
-    """An RFC 5545 rule from a recurrence pattern (JSON): type, interval, daysOfWeek, dayOfMonth, month, count, until.
+#: Places of a weekday in a month, as rules write them: fixed values.
+ORDINALS = {"first": "1", "second": "2", "third": "3", "fourth": "4", "last": "-1"}
 
-    Null where the type is none that is known.
+
+def recurrence_rule(recurrence: Column, timed: bool = True) -> Column:
+    """An RFC 5545 rule from a recurrence (JSON): ``pattern`` with type, interval, daysOfWeek, index, dayOfMonth and month,
+    and ``range``, which ends at a date or after a number of times.  A pattern alone is a recurrence without an end.
+
+    The end of a series whose events have a time of day is the end of that day.  Null where the type is none that is known.
     """
+    pattern = F.coalesce(F.get_json_object(recurrence, "$.pattern"), recurrence)
     at = lambda p: F.get_json_object(pattern, p)
+    until = lambda p: F.get_json_object(recurrence, f"$.range.{p}")
     kind = at("$.type")
     freq = (
         F.when(kind == "daily", "DAILY")
@@ -60,17 +67,22 @@ def recurrence_rule(pattern: Column) -> Column:
         .when(kind.isin("absoluteMonthly", "relativeMonthly"), "MONTHLY")
         .when(kind.isin("absoluteYearly", "relativeYearly"), "YEARLY")
     )
-    days = F.from_json(at("$.daysOfWeek"), "array<string>")
-    by_day = F.array_join(F.transform(days, lambda d: F.upper(F.substring(d, 1, 2))), ",")
-    interval = F.coalesce(at("$.interval").try_cast("int"), F.lit(1))
+    week = F.array(*map(F.lit, ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")))
+    days = F.filter(F.from_json(at("$.daysOfWeek"), "array<string>"), lambda d: F.array_contains(week, d))
+    place = F.create_map(*[F.lit(x) for kv in ORDINALS.items() for x in kv])[F.coalesce(at("$.index"), F.lit(""))]
+    before = F.when(kind.startswith("relative"), place).when(kind == "weekly", "")
+    by_day = F.when(F.size(days) > 0, F.array_join(F.transform(days, lambda d: F.concat(before, F.upper(F.substring(d, 1, 2)))), ","))
+    interval = at("$.interval").try_cast("int")
+    day, month, times = (x.try_cast("int") for x in (at("$.dayOfMonth"), at("$.month"), until("numberOfOccurrences")))
+    last = F.date_format(F.substring(until("endDate"), 1, 10).try_cast("date"), "yyyyMMdd")
     parts = [
         F.concat(F.lit("FREQ="), freq),
         F.when(interval > 1, F.concat(F.lit("INTERVAL="), interval.cast("string"))),
-        F.when(F.size(days) > 0, F.concat(F.lit("BYDAY="), by_day)),
-        F.when(kind.startswith("absolute"), F.concat(F.lit("BYMONTHDAY="), at("$.dayOfMonth"))),
-        F.when(kind.endswith("Yearly"), F.concat(F.lit("BYMONTH="), at("$.month"))),
-        F.concat(F.lit("COUNT="), at("$.count")),
-        F.concat(F.lit("UNTIL="), at("$.until")),
+        F.when(before.isNotNull() & by_day.isNotNull(), F.concat(F.lit("BYDAY="), by_day)),
+        F.when(kind.startswith("absolute") & (day != 0), F.concat(F.lit("BYMONTHDAY="), day.cast("string"))),
+        F.when(kind.endswith("Yearly") & (month != 0), F.concat(F.lit("BYMONTH="), month.cast("string"))),
+        F.when((until("type") == "numbered") & (times > 0), F.concat(F.lit("COUNT="), times.cast("string"))),
+        F.when(until("type") == "endDate", F.concat(F.lit("UNTIL="), last, F.lit("T235959Z" if timed else ""))),
     ]
     return F.when(freq.isNotNull(), F.concat_ws(";", *parts))
 

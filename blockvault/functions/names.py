@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Device names that Windows reserves, with or without an extension: fixed values.
@@ -88,10 +92,38 @@ def with_number(name: Column, number: Column) -> Column:
 
 def numbered_names(df: DataFrame, keys: Sequence[str], name: str, order: Sequence[str], out: str = "file_name") -> DataFrame:
     """Names that differ within their keys, also on systems that ignore case: the first keeps its name, later ones are
-    numbered from 2 on in order.  Equal names are numbered by one window for each (keys, name)."""
+    numbered from 2 on in order, with the first number that is free.  Equal names are numbered by one window for each
+    (keys, name).  Only where a name that is numbered by itself could meet one that is numbered here, the names of
+    that family are gone through one by one."""
     low = F.lower(name)
-    rows = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, low).orderBy(*order)))
-    return rows.withColumn(out, F.when(F.col("_nth") > 1, with_number(F.col(name), F.col("_nth"))).otherwise(F.col(name))).drop("_nth")
+    # A name's family: without its numbers.  A number of its own counts only where the family has equal names.
+    family = F.regexp_replace(low, r"( \([0-9]+\))+(\.[^.]*)?$", "$2")
+    rows = df.withColumns({"_low": low, "_family": family})
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_low").orderBy(*order)))
+    mixed = rows.groupBy(*keys, "_family").agg((F.max("_nth") > 1).alias("_a"), F.max(F.col("_low") != F.col("_family")).alias("_b"))
+    mixed = mixed.filter("_a AND _b").select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_family").alias("_f"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)], F.col("_family") == F.col("_f"))
+    plain = rows.join(mixed, same, "left_anti")
+    plain = plain.withColumn(out, F.when(F.col("_nth") > 1, with_number(F.col(name), F.col("_nth"))).otherwise(F.col(name)))
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
+
+    def one_by_one(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(list(order), kind="stable")
+        taken: set[str] = set()
+        given = []
+        for text in found[name]:
+            stem, dot, extension = text.rpartition(".")
+            stem, extension = (stem, dot + extension) if dot and stem else (text, "")
+            new, n = text, 1
+            while new.lower() in taken:
+                n += 1
+                new = f"{stem} ({n}){extension}"
+            taken.add(new.lower())
+            given.append(new)
+        return found.assign(**{out: given})[schema.names]
+
+    odd = rows.join(mixed, same, "left_semi").groupBy(*keys, "_family").applyInPandas(one_by_one, schema)
+    return plain.select(*schema.names).unionByName(odd).drop("_low", "_family", "_nth")
 
 
 def truncate(text: Column, limit: int) -> Column:

@@ -83,8 +83,11 @@ def browsable_versions(versions: DataFrame, meta: DataFrame, include_deleted: bo
 def locate_files(paths: DataFrame, file_map: DataFrame, file_meta: DataFrame) -> DataFrame:
     """Where each path's record is, and whether it can be read: OK, CORRUPT or MISSING.
 
-    A path that file_meta has more than once takes its first row, that of the smallest fid.
+    A path that file_meta has more than once takes its first row, that of the smallest fid; one that file_map has more
+    than once takes the least of its rows.
     """
+    others = [c for c in file_map.columns if c != "path"]
+    file_map = file_map.groupBy("path").agg(F.min(F.struct(*others)).alias("_row")).select("path", *[F.col(f"_row.{c}").alias(c) for c in others])
     sizes = file_meta.groupBy("path").agg(F.min_by("file_size", "fid").alias("file_size"))
     rows = paths.join(file_map, "path", "left").join(sizes, "path", "left")
     state = F.when(F.col("status") == COMPLETE, "OK").when(F.col("status").isin(CORRUPTED, TAINTED), "CORRUPT").otherwise("MISSING")

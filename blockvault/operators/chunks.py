@@ -11,6 +11,10 @@ from pyspark.sql.window import Window
 from ..functions.address import BUCKET_CHUNKS, CHUNK_BYTES, bucket_of, chunk_of, from_linear, linear, stream_of
 
 
+#: Groups that are counted together.
+GROUPS = 4096
+
+
 def chunked(df: DataFrame, key: str, content: str, size: int) -> DataFrame:
     """(key, chunk_no, chunk, fingerprint): the content in pieces of ``size``, the last one shorter.
 
@@ -26,12 +30,15 @@ def numbered(df: DataFrame, order: Sequence[str], group: Column, name: str = "nu
     """Number rows from 0 in the order of ``order``, without sorting them in one task.
 
     ``group`` is a number that never falls along the order.  Rows are numbered within their group; the numbers
-    before a group come from its count, in a window over one row for each group.
+    before a group come from counts: of the groups before it among ``GROUPS`` neighbouring ones, and of all groups of
+    ``GROUPS`` before those, so that the one window that is not partitioned has a row for ``GROUPS`` groups.
     """
     rows = df.withColumn("_group", group)
-    counts = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("_before", before).drop("_n")
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).withColumn("_super", F.floor(F.col("_group") / GROUPS))
+    supers = counts.groupBy("_super").agg(F.sum("_n").alias("_n")).withColumn("_first", before(Window.orderBy("_super"))).drop("_n")
+    inside = counts.withColumn("_inside", before(Window.partitionBy("_super").orderBy("_group"))).drop("_n")
+    offsets = inside.join(supers, "_super").select("_group", (F.col("_first") + F.col("_inside")).alias("_before"))
     within = rows.withColumn("_within", F.row_number().over(Window.partitionBy("_group").orderBy(*order)) - 1)
     return within.join(offsets, "_group").withColumn(name, (F.col("_before") + F.col("_within")).cast("bigint")).drop("_group", "_before", "_within")
 

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from ..lineage import cut
 from pyspark.sql.window import Window
 
 #: Levels that a walk goes down at most, unless told otherwise.
@@ -56,22 +58,26 @@ def ancestors(keys: DataFrame, key: str, path: str, separator: str = "/") -> Dat
 
 
 def closure(nodes: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """(ancestor, id, depth) for each node below each ancestor, itself included at depth 0.
+    """(ancestor, id, depth) for each node below each ancestor, itself included at depth 0: as many rows as nodes have
+    ancestors.
 
     Each round doubles the length of the known paths, so a tree of depth d takes about log2 d joins.  Nodes of a
     cycle, and paths longer than ``deepest``, end there.
     """
     reach = nodes.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth"))
     step = nodes.filter(F.col("parent").isNotNull() & (F.col("parent") != F.col("id"))).select(F.col("parent").alias("ancestor"), "id", F.lit(1).alias("depth"))
-    known, length = reach.union(step), 1
+    known, length = cut(step), 1
+    rounds = [known]
     while length < deepest:
-        right = known.filter(F.col("depth") > 0).select(F.col("ancestor").alias("_mid"), F.col("id").alias("_id"), F.col("depth").alias("_more"))
-        far = known.filter(F.col("depth") == length).join(right, F.col("id") == F.col("_mid"))
-        longer = far.select("ancestor", F.col("_id").alias("id"), (F.col("depth") + F.col("_more")).alias("depth")).filter(F.col("depth") <= deepest)
-        known, length = known.union(longer), 2 * length
+        # Paths of the full length go on by all known ones; each round is computed once.
+        right = known.select(F.col("ancestor").alias("_mid"), F.col("id").alias("_id"), F.col("depth").alias("_more"))
+        far = rounds[-1].filter(F.col("depth") == length).join(right, F.col("id") == F.col("_mid"))
+        longer = cut(far.select("ancestor", F.col("_id").alias("id"), (F.col("depth") + F.col("_more")).alias("depth")).filter(F.col("depth") <= deepest))
         if longer.isEmpty():
             break
-    return known
+        rounds.append(longer)
+        known, length = known.union(longer), 2 * length
+    return reach.union(known)
 
 
 def closure_sql(view: str, root: str | None = None) -> str:

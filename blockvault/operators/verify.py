@@ -5,6 +5,7 @@ A finding has stage, symptom, path, detail and ref (text or null).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -81,13 +82,34 @@ def check_chunks(chunks: DataFrame) -> DataFrame:
     return told.unionByName(bad.select(*finding("chunk", "CORRUPT", F.col("path"), where)))
 
 
+def check_json_files(files: DataFrame, magic: bytes, stage: str) -> DataFrame:
+    """Findings of files (path, content) that are no valid files of a header with that magic and a JSON object."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    if not isinstance(json.loads(K.parse_json_file(content.as_py(), magic)), dict):
+                        raise CorruptData("no JSON object")
+                except ValueError as e:  # CorruptData is one
+                    row = [stage, "CORRUPT", path.as_py(), str(e), None]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], ["stage", "symptom", "path", "detail", "ref"])
+
+    return files.select("path", "content").mapInArrow(run, FINDING)
+
+
 def check_fingerprints(plain: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """Findings of chunks whose plaintext has another SHA-256 than was stored, that have none stored, or no plaintext."""
+    """Findings of chunks whose plaintext has another SHA-256 than was stored, that have none stored, or no plaintext.
+
+    A missing key is told once, at the first bucket that needs it.
+    """
     stored = fingerprints.select("stream", "bucket", "chunk", "fingerprint")
     both = plain.filter(F.col("type") != K.COMPACTED).join(stored, ["stream", "bucket", "chunk"], "left")
     where = F.concat(F.lit("chunk "), F.col("chunk").cast("string"))
     wrong = F.when(F.col("fingerprint").isNull(), "MISSING").when(F.col("plain").isNull() & F.col("encrypted"), "KEY_MISSING").when(F.col("plain").isNull() | (F.unhex(F.sha2("plain", 256)) != F.col("fingerprint")), "CORRUPT")
-    return both.withColumn("symptom", wrong).filter("symptom IS NOT NULL").select(F.lit("fingerprint").alias("stage"), "symptom", "path", where.alias("detail"), F.lit(None).cast("string").alias("ref"))
+    found = both.withColumn("symptom", wrong).filter("symptom IS NOT NULL").select(F.lit("fingerprint").alias("stage"), "symptom", "path", where.alias("detail"), F.lit(None).cast("string").alias("ref"))
+    blind = found.filter("symptom = 'KEY_MISSING'").agg(F.min("path").alias("path")).filter("path IS NOT NULL")
+    return found.filter("symptom <> 'KEY_MISSING'").unionByName(blind.select(*finding("fingerprint", "KEY_MISSING", F.col("path"), F.lit("bucket is encrypted and there is no key"))))
 
 
 def check_references(references: DataFrame, buckets: DataFrame) -> DataFrame:

@@ -112,13 +112,14 @@ def read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.read_range(_chunks(spark, sf_dir), asked, "doc_id", SIZE)
 
 
-@query("""SELECT doc_id, v AS view, substr(text, CAST(v * n_chars // 4 + 1 AS BIGINT), CAST(n_chars // 4 AS BIGINT)) AS data
+@query("""SELECT doc_id, v AS view, substr(text, CAST(v * length(text) // 4 + 1 AS BIGINT), CAST((v + 1) * length(text) // 4 - v * length(text) // 4 AS BIGINT)) AS data
 FROM documents, (SELECT unnest(range(4)) AS v)""")
 def byte_range_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four views side by side of each file: an offset and a length of it."""
+    """Four views side by side of each file, which together are all of it: an offset and a length."""
     docs = table(spark, sf_dir, "documents").withColumn("view", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
-    at = F.floor(F.col("view") * F.col("n_chars") / 4)
-    return docs.select("doc_id", "view", F.substring("text", at.cast("int") + 1, F.floor(F.col("n_chars") / 4).cast("int")).alias("data"))
+    at = lambda v: F.floor(v * F.length("text") / 4).cast("int")
+    first, last = at(F.col("view")), at(F.col("view") + 1)
+    return docs.select("doc_id", "view", F.substring("text", first + 1, last - first).alias("data"))
 
 
 @query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_linenumber * 40960 AS start, l_linenumber + 2 AS template, CAST(l_quantity AS BIGINT) % 4 AS repeat FROM lineitem),

@@ -14,20 +14,18 @@ from ..functions import documents as D
 from ..operators import saas as S
 from ..registry import query, table
 
-_HEAD = ",".join(f'"{name}"' for name, _ in D.CONTACT_COLUMNS)
-
-
 @query(
-    "SELECT c_custkey, chr(65279) || '" + _HEAD + "' || chr(13) || chr(10) || '\"' || c_name || '\",\"\",\"' || c_mktsegment || ' \"\"x\"\"\",\"\",\"\",\"\",\"\",\"' || c_custkey || '\",\"\",\"\",\"m' || c_custkey || '@example.com\",\"\",\"\",\"\",\"\"' || chr(13) || chr(10) AS csv FROM customer"
+    '''SELECT c_custkey, chr(65279) || '"First Name","Middle Name","Last Name","E-mail Address","Business Phone","Home Phone","Mobile Phone","Job Title","Company","Business Street","Business City","Business State","Business Postal Code","Business Country/Region","Notes"'
+|| chr(13) || chr(10) || '"' || c_name || '","","' || c_mktsegment || ' ""x""","m' || c_custkey || '@example.com","' || c_custkey || '","","","","","","' || c_mktsegment || '","","","N' || c_nationkey || '",""' || chr(13) || chr(10) AS csv FROM customer'''
 )
 def contact_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey").cast("string")
-    meta = F.to_json(
-        F.struct(
-            F.col("c_name").alias("givenName"), F.concat("c_mktsegment", F.lit(' "x"')).alias("surname"), F.array(key).alias("businessPhones"),
-            F.array(F.struct(F.concat(F.lit("m"), key, F.lit("@example.com")).alias("address"))).alias("emailAddresses"),
-        )
+    client = F.struct(
+        F.col("c_name").alias("givenName"), F.concat("c_mktsegment", F.lit(' "x"')).alias("surname"), F.array(key).alias("businessPhones"),
+        F.array(F.struct(F.concat(F.lit("m"), key, F.lit("@example.com")).alias("address"))).alias("emailAddresses"),
+        F.struct(F.col("c_mktsegment").alias("city"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("countryOrRegion")).alias("businessAddress"),
     )
+    meta = F.to_json(F.struct(client.alias("client_metadata")))
     return table(spark, sf_dir, "customer").select("c_custkey", meta.alias("meta")).select("c_custkey", D.contact_csv(F.col("meta")).alias("csv"))
 
 
@@ -62,7 +60,7 @@ def thread_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.thread_rows(rows, "conv_id").select("conv_id", "msg_id", "place", "new_day", "reply_to_text", "shown")
 
 
-@query("""SELECT doc_id, text AS body FROM documents WHERE doc_id % 2 = 0""")
+@query("""SELECT doc_id, text AS body FROM documents""")
 def eml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as the bodies of mails: taken out, put back by id, read again."""
     skeleton = "From: a@example.com\r\nSubject: s\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\nX-ABL-ID: p1\r\n\r\n\r\n--b--\r\n"
@@ -72,7 +70,7 @@ def eml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         read = lambda raw: email.message_from_bytes(raw, policy=email.policy.compat32).get_payload(0).get_payload(decode=True).decode()
         return mails.map(read)
 
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
+    docs = table(spark, sf_dir, "documents")
     mails = docs.select("doc_id", D.eml(F.lit(skeleton).cast("binary"), F.array(F.lit("p0"), F.lit("p1")), F.array(F.lit(b""), F.encode("text", "utf-8"))).alias("eml"))
     return mails.select("doc_id", body("eml").alias("body"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import codec as K
-from .functions.address import BUCKET_CHUNKS, CHUNK_BYTES
-from .operators import catalog, chunks, intervals, trees, verify
+from .functions.address import BUCKET_CHUNKS, CHUNK_BYTES, pool_path
+from .operators import asof, catalog, chunks, intervals, trees, verify
 from .schema import CorruptData, catalog_table
 from .sources import repository as source
 from .sources import sink, sqlite
@@ -26,7 +26,6 @@ class Repository:
 
     def __init__(self, spark: SparkSession, root: str, key: str | None = None):
         self.spark, self.root, self._key = spark, root.rstrip("/"), key
-        self.files = source.files(spark, self.root)
         self._txn: int | None = None
         self._vault: bytes | None = None
 
@@ -35,12 +34,12 @@ class Repository:
     def transaction(self) -> int | None:
         """The committed transaction, or none in a repository without transactions."""
         if self._txn is None:
-            self._txn = source.transaction_id(self.files).first()[0]
+            self._txn = source.transaction_id(self.spark, self.root)
         return self._txn
 
     def table(self, name: str, database: str | None = None) -> DataFrame:
         """A catalog table of the generation that is committed; optional columns that are absent are null."""
-        file = source.database(self.files, database or name, self.transaction())
+        file = source.database(self.spark, self.root, database or name, self.transaction())
         return catalog_table(sqlite.read_table(self.spark, file, name), name)
 
     def connections(self) -> DataFrame:
@@ -69,7 +68,7 @@ class Repository:
 
     def encrypted(self) -> bool:
         """Whether the last key record is another than that of a repository without encryption."""
-        keys = sqlite.read_table(self.spark, source.database(self.files, "vault_encryption_key"), "vault_encryption_key")
+        keys = sqlite.read_table(self.spark, source.database(self.spark, self.root, "vault_encryption_key"), "vault_encryption_key")
         last = keys.orderBy(F.col("row_id").desc()).select("user_key_uuid").first()
         return last is not None and last[0] != "NoEncryption"
 
@@ -77,7 +76,7 @@ class Repository:
         if self._vault is None:
             if not self._key:
                 raise PermissionError("the repository is encrypted; a key is needed")
-            keys = sqlite.read_table(self.spark, source.database(self.files, "vault_encryption_key"), "vault_encryption_key")
+            keys = sqlite.read_table(self.spark, source.database(self.spark, self.root, "vault_encryption_key"), "vault_encryption_key")
             ident, key = K.parse_key_string(F.lit(self._key))
             row = keys.filter(F.col("user_key_uuid") == ident).select(K.unwrap_key(F.col("encrypted_data_key"), key, ident)).first()
             if row is None or row[0] is None:
@@ -93,16 +92,29 @@ class Repository:
     def locations(self) -> DataFrame:
         """Where every path's record is, its size and whether it can be read."""
         file_map = self.table("file_map")
-        return catalog.locate_files(file_map.select("path"), file_map, self.table("file_meta"))
+        return catalog.locate_files(file_map.select("path").distinct(), file_map, self.table("file_meta"))
 
     def entries(self, located: DataFrame) -> DataFrame:
         """Chunk map entries of located paths, in order, with the path; records that cannot be read have ``problem``."""
         wanted = located.select("path", F.col("stream_id").cast("bigint").alias("stream"), F.col("session_id").alias("session"), F.col("comp_offset").alias("offset"))
-        return wanted.join(source.records(wanted, source.sessions(self.files)), ["stream", "session", "offset"])
+        return wanted.join(source.records(wanted, self._sessions()), ["stream", "session", "offset"])
+
+    def _sessions(self) -> DataFrame:
+        return source.sessions(source.files(self.spark, self.root, "c*", source.COMPOSITION))
+
+    def _buckets(self, wanted: DataFrame | None = None) -> DataFrame:
+        """Bucket files, or those of (stream, bucket) only, whose contents alone are read then."""
+        if wanted is None:
+            return source.buckets(source.files(self.spark, self.root, "*.buk", source.POOL))
+        paths = wanted.select(pool_path(F.col("stream"), F.col("bucket")).alias("path"))
+        return source.buckets(source.chosen(self.spark, self.root, paths, "*.buk", source.POOL))
+
+    def _fingerprints(self) -> DataFrame:
+        infos, segments = (source.files(self.spark, self.root, glob, source.POOL) for glob in ("*.inf*", "*.fgp*"))
+        return source.fingerprints(infos.unionByName(segments))
 
     def _decoded(self, buckets: DataFrame) -> DataFrame:
-        found = source.buckets(self.files)
-        return verify.decoded(verify.bucket_chunks(found.join(buckets, ["stream", "bucket"], "left_semi")), self._key_column())
+        return verify.decoded(verify.bucket_chunks(self._buckets(buckets)), self._key_column())
 
     def read(self, path: str, offset: int = 0, length: int | None = None) -> DataFrame:
         """(file_offset, data) of the stored chunks that the range touches, cut to it, in no order.
@@ -145,11 +157,11 @@ class Repository:
         sizes = located.select("path", "file_size")
         data = self._read(located, F.lit(0), F.lit(1 << 62)).join(sizes, "path")
         cut = data.filter(F.col("file_offset") < F.col("file_size")).withColumn("data", F.substring("data", F.lit(1), F.least(F.lit(CHUNK_BYTES), F.col("file_size") - F.col("file_offset")).cast("int")))
-        # A last byte gives a file its length when it ends in a hole.
+        # A last byte gives a file its length when it ends in a hole; an empty file is a row without data.
         tails = sizes.filter("file_size > 0").join(cut.filter(F.col("file_offset") + F.length("data") == F.col("file_size")).select("path").distinct(), "path", "left_anti")
         rows = cut.select(F.col("path").alias("file"), F.col("file_offset").alias("offset"), "data").unionByName(
             tails.select(F.col("path").alias("file"), (F.col("file_size") - 1).alias("offset"), F.unhex(F.lit("00")).alias("data"))
-        )
+        ).unionByName(sizes.filter("file_size = 0").select(F.col("path").alias("file"), F.lit(0).cast("bigint").alias("offset"), F.lit(b"").alias("data")))
         sink.export_files(rows, folder)
 
     def object_bytes(self, path: str, offset: int, length: int) -> DataFrame:
@@ -192,7 +204,7 @@ class Repository:
 
     def walk_records(self) -> DataFrame:
         """All records of all sessions as they lie, also those that no file refers to any more."""
-        return source.walk(source.sessions(self.files))
+        return source.walk(self._sessions())
 
     def report(self) -> dict:
         """What there is: transaction, encryption, and how many connections, workloads, versions and files."""
@@ -201,12 +213,36 @@ class Repository:
 
     # -- verification --------------------------------------------------------------------------------------
 
-    def verify(self, full: bool = False) -> DataFrame:
-        """Findings of everything that files of live versions reach; ``full`` also reads and checks every chunk.
+    def reachable_paths(self) -> DataFrame:
+        """(path, version_id) of what live versions consist of: the registered files of device versions, and of SaaS
+        versions the stream's files up to the nearest complete generation from theirs on."""
+        live = self._all_versions().filter(F.coalesce("deleted", F.lit(0)) == 0)
+        registered = self.table("copy_target_file").join(live, "version_id", "left_semi").join(self.table("file_meta"), "fid").select("path", "version_id")
+        shape = r"^([^/]+)/([^/]+)/([0-9]+)/saas_obj$"
+        part = lambda k: F.regexp_extract("path", shape, k)
+        streams = self.table("file_map").filter(F.col("path").rlike(shape)).select("path", part(1).alias("saas_stream_uuid"), part(2).alias("connection_id"), part(3).cast("bigint").alias("n"))
+        asked = live.filter("saas_stream_uuid IS NOT NULL AND saas_version_id IS NOT NULL").join(self.table("connection_config"), "connection_config_id")
+        asked = asked.select("version_id", "saas_stream_uuid", "connection_id", "saas_version_id")
+        reached = asof.forward_asof(asked, streams, ["saas_stream_uuid", "connection_id"], "saas_version_id", "n").withColumnRenamed("nearest", "n")
+        return registered.unionByName(reached.join(streams, ["saas_stream_uuid", "connection_id", "n"]).select("path", "version_id"))
+
+    def check_repo_info(self) -> DataFrame:
+        """Findings of the file ``repo_info``: that it is missing, or that it is no valid file of its kind."""
+        suffixed = [n for n in source.names(self.spark, self.root, "") if re.fullmatch(r"repo_info(\.[0-9]+)?", n)]
+        name = max(suffixed, key=lambda n: int(n.partition(".")[2] or -1), default=None)
+        if name is None:
+            return self.spark.createDataFrame([("repo_info", "MISSING", "repo_info", "repo_info not found", None)], verify.FINDING)
+        return verify.check_json_files(source.files(self.spark, self.root, paths=[name]), b"RpiF", "repo_info")
+
+    def verify(self, full: bool = False, live: bool = False) -> DataFrame:
+        """Findings of everything that the files of ``file_map`` reach, or only those that ``live`` versions consist of;
+        ``full`` also reads and checks every chunk.
 
         A problem is a finding and stops nothing; only a store that fails raises.
         """
         located = self.locations()
+        if live:
+            located = located.join(self.reachable_paths().select("path").distinct(), "path", "left_semi")
         path = F.col("path")
         states = located.filter("state <> 'OK'").select(*verify.finding("catalog", "CORRUPT", path, F.concat(F.lit("file is "), F.lower("state"))))
         entries = self.entries(located.filter("state = 'OK'"))
@@ -215,12 +251,11 @@ class Repository:
         whole = entries.filter("kind = 'DATA'").withColumns({"first_k": F.lit(0).cast("bigint"), "last_k": F.col("template") - 1})
         reached = chunks.chunk_runs(whole, ["path"]).select("path", "stream", "bucket", "chunk", "n")
         referred = reached.groupBy("stream", "bucket").agg(F.min("path").alias("ref"))
-        found = source.buckets(self.files)
-        out = [states, broken, mended, verify.check_references(referred, found)]
-        parsed = verify.bucket_chunks(found.join(referred, ["stream", "bucket"], "left_semi"))
+        out = [self.check_repo_info(), states, broken, mended, verify.check_references(referred, self._buckets())]
+        parsed = verify.bucket_chunks(self._buckets(referred))
         if full:
             out.append(verify.check_chunks(parsed))
-            out.append(verify.check_fingerprints(verify.decoded(parsed, self._key_column()), source.fingerprints(self.files)))
+            out.append(verify.check_fingerprints(verify.decoded(parsed, self._key_column()), self._fingerprints()))
         else:
             out.append(parsed.filter("stage IS NOT NULL").select("stage", "symptom", "path", "detail", "ref"))
         result = out[0]
@@ -230,15 +265,15 @@ class Repository:
 
     def inspect_bucket(self, stream: int, bucket: int) -> DataFrame:
         """How many chunks of which type a bucket has, and their stored bytes."""
-        one = source.buckets(self.files).filter((F.col("stream") == stream) & (F.col("bucket") == bucket))
-        return verify.bucket_chunks(one).filter("chunk IS NOT NULL").groupBy("type", "encrypted").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("stored")).alias("stored_bytes"))
+        one = self.spark.range(1).select(F.lit(stream).cast("bigint").alias("stream"), F.lit(bucket).cast("bigint").alias("bucket"))
+        return verify.bucket_chunks(self._buckets(one)).filter("chunk IS NOT NULL").groupBy("type", "encrypted").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("stored")).alias("stored_bytes"))
 
     def unreferenced_chunks(self) -> DataFrame:
         """Slots of buckets that no readable file refers to."""
         whole = self.entries(self.locations().filter("state = 'OK'")).filter("kind = 'DATA'").withColumns({"first_k": F.lit(0).cast("bigint"), "last_k": F.col("template") - 1})
         runs = chunks.chunk_runs(whole, [])
         used = intervals.merge_ranges(runs.select("stream", "bucket", F.col("chunk").alias("start"), (F.col("chunk") + F.col("n")).alias("end")), ["stream", "bucket"])
-        slots = verify.bucket_chunks(source.buckets(self.files)).filter("chunk IS NOT NULL").select("stream", "bucket", "chunk")
+        slots = verify.bucket_chunks(self._buckets()).filter("chunk IS NOT NULL").select("stream", "bucket", "chunk")
         near = intervals.covering(slots, used, ["stream", "bucket"], "chunk", BUCKET_CHUNKS).select("stream", "bucket", "chunk")
         return slots.join(near, ["stream", "bucket", "chunk"], "left_anti")
 

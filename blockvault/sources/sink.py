@@ -1,8 +1,9 @@
 """Exports as files: a DataSource whose tasks write staged parts, which the commit puts into place.
 
-A row is (file, offset, data).  Rows are dealt by file and sorted by offset before the write; a file is written by
-one task as ``<name>.part-<task>`` and appears under its name only when the whole job committed.  An aborted or
-retried task leaves nothing under the final names.  Gaps between rows stay holes where the file system knows them.
+A row is (file, offset, data).  Rows are dealt by segments of files and sorted by offset before the write; the tasks of
+a file write at their offsets into one part ``<name>.part-<job>``, which appears under its name only when the whole
+job committed.  A task that runs again writes the same bytes at the same places, and an aborted job leaves nothing under
+the final names.  Gaps between rows stay holes where the file system knows them.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+#: What one task writes of a file at a time.
+SEGMENT_BYTES = 1 << 28
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -43,9 +48,9 @@ class FileWriter(DataSourceWriter):
                         file.close()
                     name = row["file"]
                     final = self._final(name)
-                    part = f"{final}.part-{self.job}-{uuid.uuid4().hex}"
+                    part = f"{final}.part-{self.job}"
                     os.makedirs(os.path.dirname(final), exist_ok=True)
-                    file = open(part, "wb")
+                    file = os.fdopen(os.open(part, os.O_RDWR | os.O_CREAT, 0o666), "r+b")
                     staged.append((part, final))
                 file.seek(row["offset"])
                 file.write(row["data"])
@@ -56,9 +61,8 @@ class FileWriter(DataSourceWriter):
         return Written(staged, total)
 
     def commit(self, messages: list) -> None:
-        for message in messages:
-            for part, final in message.staged if message else ():
-                os.replace(part, final)
+        for part, final in {pair for message in messages if message for pair in message.staged}:
+            os.replace(part, final)
         self._sweep()
 
     def abort(self, messages: list) -> None:
@@ -66,7 +70,7 @@ class FileWriter(DataSourceWriter):
 
     def _sweep(self) -> None:
         """Parts of tasks that failed or ran twice."""
-        for part in glob.glob(os.path.join(glob.escape(self.folder), "**", f"*.part-{self.job}-*"), recursive=True):
+        for part in glob.glob(os.path.join(glob.escape(self.folder), "**", f"*.part-{self.job}"), recursive=True):
             os.remove(part)
 
 
@@ -87,5 +91,6 @@ class FileExport(DataSource):
 def export_files(rows: DataFrame, folder: str) -> None:
     """Write rows (file, offset, data) as files below the folder."""
     rows.sparkSession.dataSource.register(FileExport)
-    dealt = rows.select("file", "offset", "data").repartition("file").sortWithinPartitions("file", "offset")
+    segment = F.floor(F.col("offset") / F.lit(SEGMENT_BYTES))
+    dealt = rows.select("file", "offset", "data").repartition("file", segment).sortWithinPartitions("file", "offset")
     dealt.write.format("vaultfiles").mode("append").save(folder)

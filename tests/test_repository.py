@@ -60,7 +60,7 @@ def test_export(built, tmp_path):
     _, content, repo, _ = built
     repo.export(repo.locations().select("path"), str(tmp_path / "out"))
     got = read_tree(str(tmp_path / "out"))
-    assert got == {k: v for k, v in content.items() if v}
+    assert got == content
 
 
 def test_extents(built):
@@ -163,3 +163,103 @@ def test_objects_of_a_stream(built):
     row = repo.object_bytes("a/two.img", 4000, 9000).first()
     assert bytes(row["content"]) == content["a/two.img"][4000:13000]
     assert repo.stream_file("u", "c", 1, 9) is None
+
+
+def test_only_wanted_files_are_read(spark, tmp_path):
+    """A file that no reader can load lies beside the catalogs, and a bucket that nothing refers to."""
+    root = tmp_path / "r"
+    root.mkdir()
+    content = build_repository(root, spark)
+    for path in ("db/huge", "@data/Pool/1/99.buk", "@data/Composition/1/7.com/other"):
+        with open(root / path, "wb") as file:
+            file.truncate(3 << 30)
+    repo = Repository(spark, str(root))
+    assert repo.report()["file_map"] == 6
+    assert assemble(repo.read("c.img"), len(content["c.img"])) == content["c.img"]
+    assert [(r["stage"], r["path"]) for r in repo.verify().collect()] == [("catalog", "old.img")]
+
+
+def test_supplemental_tables_go_by_markers(spark, tmp_path):
+    from .support import database
+
+    root = tmp_path / "r"
+    root.mkdir()
+    build_repository(root, spark)
+    shape = "connection_config_id INTEGER, connection_id TEXT"
+    database(root / "db" / "connection_config.7", connection_config=(shape, [(100, "by transaction")]))
+    database(root / "db" / "connection_config.20", connection_config=(shape, [(100, "by marker")]))
+    database(root / "db" / "connection_config.30", connection_config=(shape, [(100, "unmarked")]))
+    (root / "repo_transactions" / "repo_transaction.8").write_bytes(b"damaged, but not the highest")
+    assert [r["connection_id"] for r in Repository(spark, str(root)).table("connection_config").collect()] == ["by transaction"]
+    marks = root / "suppl_transaction_ids"
+    marks.mkdir()
+    for n in (6, 20, 40):
+        (marks / str(n)).write_bytes(b"")
+    repo = Repository(spark, str(root))
+    assert [r["connection_id"] for r in repo.table("connection_config").collect()] == ["by marker"]
+    assert repo.table("file_map").count() == 6  # by the transaction
+    assert {r["path"] for r in repo.reachable_paths().collect()} == {"a/one.img", "a/two.img", "a/b/empty.img"}
+    assert repo.verify(live=True).count() == 0
+    (marks / "6").unlink()
+    with pytest.raises(CorruptData):
+        repo.table("file_meta").count()
+    (root / "repo_info").unlink()
+    assert [r["symptom"] for r in repo.check_repo_info().collect()] == ["MISSING"]
+
+
+def test_records_over_sub_files(spark):
+    from blockvault.functions import codec as K
+
+    size = 1 << 24
+    entry = lambda k: (K.MAPPING, k, (1 << 56) | (k << 16), 1, 0, False)
+    head = K.build_header(b"cMpS", size.to_bytes(4, "big"))
+    large = K.build_record([entry(k) for k in range(900_000)])  # over sub-files
+    data, offsets = head, []
+    for record in (K.build_record([entry(1)]), large, K.build_record([entry(2), entry(3)])):
+        offsets.append(len(data))
+        data += record
+    parts = [(1, 7, k // size, bytearray(data[k : k + size])) for k in range(0, len(data), size)]
+    assert len(parts) > 2
+    df = spark.createDataFrame(parts, "stream long, session long, sub long, content binary")
+    wanted = spark.createDataFrame([(1, 7, o) for o in [*offsets, 70, size - 5, 1 << 40]], "stream long, session long, offset long")
+    got = {r["offset"]: (r["n"], r["problems"]) for r in source.records(wanted, df).groupBy("offset").agg(F.count("place").alias("n"), F.count("problem").alias("problems")).collect()}
+    assert got == {offsets[0]: (1, 0), offsets[1]: (900_000, 0), offsets[2]: (2, 0), 70: (0, 1), size - 5: (0, 1), 1 << 40: (0, 1)}
+    lost = source.records(wanted.limit(3), df.filter("sub <> 1")).groupBy("offset").agg(F.max("problem").alias("p")).collect()
+    assert {r["offset"]: r["p"] for r in lost}[offsets[1]] == "missing sub-file"
+    walked = source.walk(df).orderBy("offset").collect()
+    assert [(r["offset"], r["entries"]) for r in walked] == list(zip(offsets, (1, 900_000, 2), strict=True))
+
+
+def test_export_by_segments(spark, tmp_path, monkeypatch):
+    from blockvault.sources import sink
+
+    monkeypatch.setattr(sink, "SEGMENT_BYTES", 1000)
+    rows = [("a/x", k * 500, bytearray([65 + k] * 300)) for k in range(20)] + [("y", 0, bytearray())]
+    sink.export_files(spark.createDataFrame(rows, "file string, offset long, data binary"), str(tmp_path / "o"))
+    got = read_tree(str(tmp_path / "o"))
+    assert got["y"] == b"" and len(got["a/x"]) == 19 * 500 + 300
+    assert all(got["a/x"][k * 500 : k * 500 + 300] == bytes([65 + k] * 300) for k in range(20)) and got["a/x"][300:500] == b"\0" * 200
+    with pytest.raises(Exception, match="leaves the export folder"):
+        sink.export_files(spark.createDataFrame([("../z", 0, bytearray(b"x"))], "file string, offset long, data binary"), str(tmp_path / "o"))
+    assert sorted(read_tree(str(tmp_path / "o"))) == ["a/x", "y"]
+
+
+def test_repeated_paths_are_one(spark):
+    from blockvault.operators import catalog
+
+    file_map = spark.createDataFrame([("p", 1, 5, 2), ("p", 1, 4, 2), ("q", 1, 1, 4)], "path string, stream_id int, session_id long, status int")
+    meta = spark.createDataFrame([(1, "p", 10), (2, "p", 20)], "fid long, path string, file_size long")
+    found = catalog.locate_files(file_map.select("path").distinct(), file_map, meta).orderBy("path").collect()
+    assert [(r["path"], r["session_id"], r["file_size"], r["state"]) for r in found] == [("p", 4, 10, "OK"), ("q", 1, None, "CORRUPT")]
+
+
+def test_mail_keeps_what_it_does_not_fill():
+    from blockvault.functions.documents import build_eml
+
+    part = lambda ident, encoding, body: f"--b\r\nContent-Type: text/plain\r\nContent-Transfer-Encoding: {encoding}\r\nX-ABL-ID: {ident}\r\n\r\n{body}\r\n".encode()
+    head, end = b"From: a\r\nSubject: s\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n", b"--b--\r\n"
+    got = build_eml(head + part("p1", "base64", "") + part("p2", "quoted-printable", "old") + part("p3", "7bit", "kept") + end, {"p1": b"one", "p2": "é=".encode()})
+    lines = got.split(b"\r\n")
+    assert got.startswith(head) and got.endswith(end) and b"X-ABL-ID: p3" in lines and b"kept" in lines
+    assert b"b25l" in got and b"=C3=A9=3D" in got and b"old" not in got and b"X-ABL-ID: p1" not in got
+    assert build_eml(b"Subject: s\nX-ABL-ID: x\n\nold", {"x": b"new"}) == b"Subject: s\n\nnew"
