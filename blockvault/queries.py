@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import catalog, chunks, codecs, content, intervals, names, trees, verification  # noqa: F401
+from .plans import catalog, chunks, codecs, content, intervals, names, store, trees, verification  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
