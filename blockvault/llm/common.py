@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from ..lineage import cut
+
+__all__ = ["cut", "held_out", "partitions", "read_table", "rows_of", "small_batches"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +27,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder that the cluster shares."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
-    return df.checkpoint()
-
-
 def held_out(id_col: str) -> Column:
     """True for rows that no model may learn from: crc32 of the id as text is 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: each window holds a seed document and its nearest unused neighbours.
 
-Documents are range-partitioned by a min-hash of their words (ties by id, so that copies spread), which
-brings lexically close ones together.  A partition is worked off in shards of bounded size.  A shard has an
+Documents are range-partitioned by a hash of a min-hash of their words (ties by id, so that copies spread),
+which brings lexically close ones together.  A partition is worked off in shards of bounded size.  A shard has an
 inverted index with BM25 weights; a seed's distinct tokens query it, and the unused documents fill the
 seed's window in the order of their scores.  The document that reaches the window's end is cut there; its
 rest is the next seed.  The last window of a partition is cut into lengths that are powers of two, which
@@ -144,7 +144,7 @@ def pack_by_retrieval(df: DataFrame, vocabulary: str, width: int = 4096, end_id:
     small_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.transform(F.split(text, " "), lambda w: F.when(F.length(w) > 3, F.xxhash64(w)).otherwise(F.lit((1 << 63) - 1)))
-    rows = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.array_min(words).alias("_sign"))
+    rows = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(F.array_min(words)).alias("_sign"))  # hashed anew, as the least of many words is small
     dealt = rows.repartitionByRange("_sign", "_id").sortWithinPartitions("_sign", "_id", "_text").select("_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
