@@ -342,8 +342,11 @@ def _counters(iv: pd.Series, size: pd.Series) -> pd.Series:
         if v is None or pd.isna(n):
             out.append(None)
             continue
-        first = int.from_bytes(v, "big")
-        out.append(b"".join(((first + i) % (1 << 128)).to_bytes(16, "big") for i in range(-(-int(n) // 16))))
+        high, low = np.frombuffer(v, ">u8").astype(np.uint64)
+        blocks = np.empty((-(-int(n) // 16), 2), ">u8")
+        counted = low + np.arange(len(blocks), dtype=np.uint64)  # modulo 2**64
+        blocks[:, 1], blocks[:, 0] = counted, high + (counted < low)
+        out.append(blocks.tobytes())
     return pd.Series(out, dtype=object)
 
 

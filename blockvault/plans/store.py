@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import codec as K
 from ..functions import formats as V
 from ..functions import names as N
+from ..lineage import cut
 from ..operators import saas as S
 from ..operators import trees
 from ..operators import verify as O
@@ -99,7 +100,7 @@ def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         "l_orderkey", "l_linenumber", zero.alias("zero"), (F.col("l_partkey") * 65536).alias("address"), (F.col("l_suppkey") + 1).alias("template"),
         F.floor("l_quantity").cast("bigint").alias("repeat"), (F.col("l_linestatus") == "F").alias("inherit"), F.floor(F.col("l_orderkey") / 4096).alias("session"),
     )
-    built = rows.groupBy("session").applyInPandas(_session, "session bigint, sub bigint, content binary, places array<struct<key:bigint,offset:bigint>>")
+    built = cut(rows.groupBy("session").applyInPandas(_session, "session bigint, sub bigint, content binary, places array<struct<key:bigint,offset:bigint>>"))
     wanted = built.select(F.lit(1).cast("bigint").alias("stream"), "session", F.explode("places").alias("p")).select("stream", "session", "p.key", "p.offset")
     return wanted, built.select(F.lit(1).cast("bigint").alias("stream"), "session", "sub", "content")
 

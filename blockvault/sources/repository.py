@@ -208,10 +208,13 @@ def _spans(wanted: DataFrame, parts: DataFrame) -> DataFrame:
     key = ["stream", "session", "offset"]
     asked = wanted.select(*key).distinct()
     heads = asked.withColumn("sub", F.explode(F.sequence(A.sub_file(F.col("offset")), A.sub_file(F.col("offset") + HEAD - 1))))
-    at = F.greatest(F.col("offset") - F.col("sub") * (1 << A.SUB_FILE_BITS), F.lit(0))
-    rest = F.lit(HEAD) - F.greatest(F.col("sub") * (1 << A.SUB_FILE_BITS) - F.col("offset"), F.lit(0))
-    piece = F.substring(F.col("content"), (at + 1).cast("int"), rest.cast("int"))
-    found = heads.join(parts, ["stream", "session", "sub"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("sub", piece.alias("piece")))).alias("pieces"))
+    # A sub-file meets its heads once, and rows of heads do not carry it.
+    asking = heads.groupBy("stream", "session", "sub").agg(F.collect_list("offset").alias("offsets"))
+    begin = F.col("sub") * (1 << A.SUB_FILE_BITS)
+    piece = lambda o: F.substring(F.col("content"), (F.greatest(o - begin, F.lit(0)) + 1).cast("int"), (F.lit(HEAD) - F.greatest(begin - o, F.lit(0))).cast("int"))
+    pieces = F.transform("offsets", lambda o: F.struct(o.alias("offset"), piece(o).alias("piece")))
+    found = asking.join(parts, ["stream", "session", "sub"]).select("stream", "session", "sub", F.inline(pieces))
+    found = found.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("sub", "piece"))).alias("pieces"))
     head = F.aggregate("pieces", F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
     found = found.select(*key, head.alias("head"))
     good = (F.length("head") == HEAD) & (F.crc32(F.substring("head", 1, HEAD - 4)) == _number(F.col("head"), HEAD - 4, 4))
