@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -110,3 +111,82 @@ def test_training_is_sparse_and_learns(k):
     assert model.languages == sorted({r[0] for r in rows})
     assert (model.weights != 0).any(axis=1).mean() < 0.05
     assert model.predict(["abcabcabc"])[0] == ["l0"]
+
+
+def test_shrinkage_by_loops():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (40, 3)), rng.normal(1, 2, (7, 3))])
+    y = np.repeat([0, 1], [40, 7])
+    means, covariances = [], []
+    for k in (0, 1):
+        rows = [r for r, c in zip(x.tolist(), y, strict=True) if c == k]
+        mean = [sum(r[j] for r in rows) / len(rows) for j in range(3)]
+        means.append(mean)
+        covariances.append([[sum((r[i] - mean[i]) * (r[j] - mean[j]) for r in rows) / len(rows) for j in range(3)] for i in range(3)])
+    logs = []
+    for k, n in ((0, 40), (1, 7)):
+        lean = max(Q.TO_POOLED, 3 / (3 + n))
+        shrunk = np.zeros((3, 3))
+        for i in range(3):
+            for j in range(3):
+                pooled = (40 * covariances[0][i][j] + 7 * covariances[1][i][j]) / 47
+                shrunk[i, j] = (1 - Q.TO_DIAGONAL) * ((1 - lean) * covariances[k][i][j] + lean * pooled) + (Q.TO_DIAGONAL * pooled + Q.FLOOR if i == j else 0)
+        d = x - np.array(means[k])
+        logs.append(np.log(n / 47) - 0.5 * np.log(np.linalg.det(shrunk)) - 0.5 * (d @ np.linalg.inv(shrunk) * d).sum(axis=1))
+    assert np.allclose(Q.fit(x, y).score(x), 1 / (1 + np.exp(0.5 * (logs[0] - logs[1]))))
+
+
+def test_training_by_coordinates():
+    """Follow-the-regularised-leader in plain numbers, one coordinate at a time, and the temperature by a fine grid."""
+    texts = ["das ist ein haus", "der hund und die katze", "ein baum im wald", "wir gehen nach hause", "und noch ein satz", "kaltes wasser", "the house is old", "a dog and the cat", "trees in a forest", "we are going home", "and one more line", "cold das water"]
+    rows = [("de" if i < 6 else "en", *L.counts(t)) for i, t in enumerate(texts)]
+    rows = rows[::2] + rows[1::2]
+    model = L.train(rows)
+    frequency: dict = {}
+    for _, ids, _ in rows:
+        for f in ids.tolist():
+            frequency[f] = frequency.get(f, 0) + 1
+    idf = {f: math.log((1 + len(rows)) / (1 + n)) + 1 for f, n in frequency.items()}
+    z, n, zb, nb, seen, fitted, apart = {}, {}, [0.0, 0.0], [0.0, 0.0], {}, [], []
+    for name, ids, tf in rows:
+        vector = {f: L.SCALE * t / tf.sum() * idf[f] for f, t in zip(ids.tolist(), tf.tolist(), strict=True)}
+        seen[name] = seen.get(name, 0) + 1
+        (apart if seen[name] % 5 == 0 else fitted).append((["de", "en"].index(name), vector))
+
+    def weight(f, k):
+        a, b = z.get((f, k), 0.0), n.get((f, k), 0.0)
+        return 0.0 if abs(a) <= L.L1 else -(a - math.copysign(L.L1, a)) / ((L.BETA + math.sqrt(b)) / L.ALPHA + L.L2)
+
+    def bias(k):
+        return -zb[k] / ((L.BETA + math.sqrt(nb[k])) / L.ALPHA + L.L2)
+
+    def logits(vector):
+        return [sum(v * weight(f, k) for f, v in vector.items()) + bias(k) for k in (0, 1)]
+
+    for _ in range(L.EPOCHS):
+        for y, vector in fitted:
+            e = [math.exp(x) for x in logits(vector)]
+            g = [e[k] / sum(e) - (k == y) for k in (0, 1)]
+            old = {(f, k): weight(f, k) for f in vector for k in (0, 1)}
+            for (f, k), w in old.items():
+                step = vector[f] * g[k]
+                before = n.get((f, k), 0.0)
+                n[f, k] = before + step * step
+                z[f, k] = z.get((f, k), 0.0) + step - (math.sqrt(n[f, k]) - math.sqrt(before)) / L.ALPHA * w
+            for k in (0, 1):
+                w, before = bias(k), nb[k]
+                nb[k] += g[k] * g[k]
+                zb[k] += g[k] - (math.sqrt(nb[k]) - math.sqrt(before)) / L.ALPHA * w
+    assert model.languages == ["de", "en"] and np.allclose(model.bias, [bias(0), bias(1)])
+    for f in frequency:
+        assert np.allclose(model.weights[f], [weight(f, k) * idf[f] * L.SCALE for k in (0, 1)], rtol=1e-4, atol=1e-6)
+    assert any(weight(f, 0) == 0 for f in frequency)
+
+    def loss(log_t):
+        total = 0.0
+        for y, vector in apart:
+            a = [x / math.exp(log_t) for x in logits(vector)]
+            total += math.log(sum(math.exp(x - max(a)) for x in a)) + max(a) - a[y]
+        return total
+
+    assert apart and loss(math.log(model.temperature)) <= min(loss(math.log(0.05) + k * math.log(400) / 2000) for k in range(2001)) + 1e-6
