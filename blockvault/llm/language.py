@@ -52,6 +52,16 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(found, return_counts=True)
 
 
+def add_document(text: str, seen: np.ndarray, frequencies: np.ndarray) -> None:
+    """Add 1 to the frequency of each feature of a whole text; ``seen`` is room for one mark a feature."""
+    codes = _codes(text)
+    seen[:] = False
+    for n in ORDERS:
+        for at in range(0, len(codes) - n + 1, 4 * GROUP):
+            seen[_hashes(codes[at : at + 4 * GROUP + n - 1], n)] = True
+    frequencies += seen
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
@@ -98,15 +108,14 @@ class Model:
         return total / np.maximum(number, 1)[:, None] + self.bias
 
 
-def train(rows: Sequence[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+def train(rows: Sequence[tuple[str, np.ndarray, np.ndarray]], corpus: tuple[np.ndarray, int] | None = None) -> Model:
     """Fit on rows of a language and the counts of its features, in the order given; every fifth row of a
-    language serves for the temperature only.  With no rows there is no language to predict."""
+    language serves for the temperature only.  ``corpus`` holds each feature's document frequency and the number of
+    documents; without it the rows are the corpus.  With no rows there is no language to predict."""
     languages = sorted({r[0] for r in rows})
     number, seen = {x: i for i, x in enumerate(languages)}, {x: 0 for x in languages}
-    df = np.zeros(1 << BITS)
-    for _, ids, _ in rows:
-        df[ids] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    df, documents = corpus or (np.bincount(np.concatenate([ids for _, ids, _ in rows] or [[]]).astype(np.int64), minlength=1 << BITS), len(rows))
+    idf = np.log((1 + documents) / (1 + df)) + 1
     k = len(languages)
     z, n, w = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
     zb, nb = np.zeros(k), np.zeros(k)
@@ -156,10 +165,35 @@ def _temperature(logits: np.ndarray, answers: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """In how many rows of ``docs`` each feature is, and the number of rows; those without a letter do not count.
+
+    Each partition adds up its own texts, so at most 2**BITS rows of it are shuffled and as many reach the driver.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, frequencies, documents = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0):
+                text = text.as_py()
+                if text and _LETTER.search(text):
+                    add_document(text, seen, frequencies)
+                    documents += 1
+        ids = np.flatnonzero(frequencies)
+        # The number of rows stands at a feature that does not exist.
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, 1 << BITS).astype(np.int32)), pa.array(np.append(frequencies[ids], documents))], ["feature", "n"])
+
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros((1 << BITS) + 1, np.int64)
+    df[found["feature"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return df[:-1], int(df[-1])
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on about ``fit_rows`` rows of each language at most, chosen by a hash of the id among the rows that may
     be learned from.  Rows with a null language or id, or without a letter, are passed over; of rows
-    that repeat an id the least counts."""
+    that repeat an id the least counts.  Document frequencies are those of all rows that may be learned from."""
     small_batches(docs.sparkSession)
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).filter(~held_out(id_col))
     sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}  # a row for each language
@@ -180,7 +214,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = rows.mapInArrow(run, "h long, lang string, ids binary, tf binary").collect()
     # Always in the same order, whatever the partitions.
     found.sort(key=lambda r: (r["h"], r["lang"], bytes(r["ids"])))
-    return train([(r["lang"], np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["tf"], "<u4").astype(float)) for r in found])
+    fitted = [(r["lang"], np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["tf"], "<u4").astype(float)) for r in found]
+    return train(fitted, document_frequencies(usable, text_col) if fitted else None)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", carry: Sequence[str] = (), least: float | None = None) -> DataFrame:

@@ -103,6 +103,36 @@ def test_language_awkward_rows(spark):
     assert L.identify(frame(spark, [])).count() == 0
 
 
+def test_document_frequencies_by_counting(spark, monkeypatch):
+    rows = documents() + [(900, "äb " * 700, "en"), (901, "", "en"), (902, "12 34", "en")]
+    want, n = np.zeros(1 << L.BITS, np.int64), 0
+    for _, text, _ in rows:
+        if any(c.isalpha() for c in text or ""):
+            want[L.counts(text)[0]] += 1
+            n += 1
+    for df in both(spark, rows):
+        got, documents_ = L.document_frequencies(df.repartition(5))
+        assert documents_ == n and (got == want).all()
+    got, documents_ = L.document_frequencies(frame(spark, []))
+    assert documents_ == 0 and not got.any()
+    # A text in pieces has the features of the whole.
+    monkeypatch.setattr(L, "GROUP", 100)
+    one = np.zeros(1 << L.BITS, np.int64)
+    L.add_document(rows[-3][1], np.zeros(1 << L.BITS, bool), one)
+    assert (np.flatnonzero(one) == L.counts(rows[-3][1])[0]).all() and one.max() == 1
+
+
+def test_learning_takes_frequencies_of_all_rows_but_those_held_out(spark, monkeypatch):
+    docs = read_table(spark, SMALL, "documents")
+    usable = docs.filter("lang is not null and not coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, false)")
+    want, n = L.document_frequencies(usable)
+    given = []
+    monkeypatch.setattr(L, "train", lambda rows, corpus=None: given.append((rows, corpus)))
+    L.learn(docs, fit_rows=20)
+    (rows, (df, documents_)), = given
+    assert documents_ == n > len(rows) > 0 and (df == want).all()
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_training_is_sparse_and_learns(k):
     rng = np.random.default_rng(2)
