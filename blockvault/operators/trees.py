@@ -80,11 +80,26 @@ def closure(nodes: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     return reach.union(known)
 
 
-def closure_sql(view: str, root: str | None = None) -> str:
-    """The subtree below a node (or all top nodes) as SQL, for catalogs small enough for one recursion."""
-    top = f"id = '{root}'" if root is not None else "parent IS NULL"
-    return f"""WITH RECURSIVE t(id, depth) AS (SELECT id, 0 FROM {view} WHERE {top} UNION ALL SELECT n.id, t.depth + 1 FROM {view} n JOIN t ON n.parent = t.id)
-SELECT id, depth FROM t"""
+def depths(nodes: DataFrame, root: str | None = None) -> DataFrame:
+    """(id, depth) of a node (or all top nodes) and what is below: the rows of a recursion from there, which has one for
+    each way that leads to a node.
+
+    Ways go up and double their lengths in each round, so a tree of depth d takes about log2 d joins, whatever its
+    depth and size.  Ways that never arrive, as those of a cycle or of a missing parent, are no rows.
+    """
+    top = F.col("parent").isNull() if root is None else F.col("id").eqNullSafe(root)
+    # A way that has arrived leads no further up.
+    ways = cut(nodes.filter(top | F.col("parent").isNotNull()).select("id", F.when(~top, F.col("parent")).alias("up"), F.when(top, 0).otherwise(1).alias("depth")))
+    arrived = ways.filter("up IS NULL").count()
+    while not ways.filter("up IS NOT NULL").isEmpty():
+        ahead = ways.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        further = ways.join(ahead, F.col("up") == F.col("_id")).select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        ways = cut(ways.filter("up IS NULL").union(further))
+        before, arrived = arrived, ways.filter("up IS NULL").count()
+        if arrived == before:
+            # A longer way would have passed a node that arrives in this round.
+            break
+    return ways.filter("up IS NULL").select("id", "depth")
 
 
 def recursive_nodes(rows: DataFrame, ident: str, parent: str, name: str, is_leaf: Column, root: str | None = None) -> DataFrame:

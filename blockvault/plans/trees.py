@@ -55,9 +55,8 @@ def recursive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH RECURSIVE " + _PARTS[5:] + """, t(id, depth) AS (SELECT id, 0 FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.depth + 1 FROM n JOIN t ON n.parent = t.id)
 SELECT id, CAST(depth AS INTEGER) AS depth FROM t""")
 def subtree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole tree from its top, as one recursive query."""
-    _parts(spark, sf_dir).createOrReplaceTempView("part_nodes")
-    return spark.sql(T.closure_sql("part_nodes"))
+    """The whole tree from its top."""
+    return T.depths(_parts(spark, sf_dir))
 
 
 @query("""WITH u AS (SELECT NULL AS parent, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, false AS is_leaf FROM nation

@@ -110,6 +110,19 @@ def test_closure_and_pages(spark):
     assert [r["id"] for r in T.children(nodes, "a", 1, 5).collect()] == ["d"]
 
 
+def test_depths(spark):
+    """Also of a tree that is deeper, and of more rows, than a recursive query of Spark may have."""
+    chain = spark.range(300).selectExpr("CAST(IF(id = 0, NULL, id - 1) AS STRING) AS parent", "CAST(id AS STRING) AS id")
+    assert {(r["id"], r["depth"]) for r in T.depths(chain).collect()} == {(str(k), k) for k in range(300)}
+    wide = spark.range(1_000_100).selectExpr("CAST(IF(id < 4, NULL, id DIV 1000) AS STRING) AS parent", "CAST(id AS STRING) AS id")
+    assert T.depths(wide).count() == 1_000_100
+    odd = [(None, "a"), ("a", "b"), ("a", "b"), ("b", "c"), ("lost", "d"), ("f", "e"), ("e", "f"), ("e", "g"), ("h", "h"), ("c", None)]
+    nodes = spark.createDataFrame(odd, "parent string, id string")
+    assert sorted(map(tuple, T.depths(nodes).collect()), key=str) == sorted([("a", 0), ("b", 1), ("b", 1), ("c", 2), ("c", 2), (None, 3), (None, 3)], key=str)
+    assert sorted(map(tuple, T.depths(nodes, "c").collect()), key=str) == sorted([("c", 0), (None, 1)], key=str)
+    assert T.depths(nodes.limit(0)).count() == 0
+
+
 def test_names(spark):
     one = spark.range(1)
     value = lambda c: one.select(c).first()[0]
