@@ -32,8 +32,8 @@ def pluralize(n: Column, one: str, many: str) -> Column:
 
 
 def format_timestamp(t: Column) -> Column:
-    """In the session's time zone; null is a dash."""
-    return F.coalesce(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.lit("-"))
+    """In the session's time zone; null is a dash.  Years beyond 9999 have no sign."""
+    return F.coalesce(F.ltrim(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.lit("+")), F.lit("-"))
 
 
 def epoch_seconds(value: Column) -> Column:
@@ -41,10 +41,14 @@ def epoch_seconds(value: Column) -> Column:
     return F.nullif(value.cast("string").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def epoch_timestamp(value: Column) -> Column:
-    """The time of epoch seconds; null outside the years 1 to 9999."""
+#: The last seconds of the year 9999, and of what a timestamp can hold.
+YEAR_9999, LAST_SECOND = 253402300799, ((1 << 63) - 1) // 1_000_000
+
+
+def epoch_timestamp(value: Column, last: int = YEAR_9999) -> Column:
+    """The time of epoch seconds; null before the year 1 and after ``last``."""
     e = epoch_seconds(value)
-    return F.when(e.between(-62135596800, 253402300799), F.timestamp_seconds(e))
+    return F.when(e.between(-62135596800, last), F.timestamp_seconds(e))
 
 
 #: Places of a weekday in a month, as rules write them: fixed values.

@@ -108,6 +108,14 @@ def test_layer_path_of_large_keys(spark, tmp_path):
     assert row[0].count("/") == 4 and row[1] == f"@data/Pool/7/{(1 << 10) - 1}/{(1 << 20) - 1}/{(1 << 30) - 1}/{(1 << 40) - 1}.buk"
 
 
+def test_shown_values_of_large_keys(spark, tmp_path):
+    """Times after the year 9999 are shown as the SQL has them; elsewhere they are still none."""
+    values = [(k, k + 1, 1, 3, 1.0 + k % 50, "N", "O") for k in (0, 1, 2534022, 2534023, 2534024, 9000000)]
+    got, want = against_sql(spark, tmp_path, "shown_values", lineitem=([(*v[:5],) for v in values], "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double"))
+    assert got == want and any("30489-11-11" in r or "10000-" in r for r in got)
+    assert spark.range(1).select(V.epoch_timestamp(F.lit("253402300800"))).first()[0] is None
+
+
 def test_runs_expand_like_single_chunks(spark):
     rng = random.Random(1)
     rows = [(i, (2 << 56) | (rng.randrange(3) << 16) | rng.randrange(8180, 8192), rng.randrange(1, 20), rng.randrange(4)) for i in range(30)]
