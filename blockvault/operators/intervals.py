@@ -18,23 +18,27 @@ def cell_of(x: Column, width: int) -> Column:
     return F.floor(x / F.lit(width)).cast("bigint")
 
 
-def _islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], new: Column) -> DataFrame:
+def _islands(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], new: Column) -> DataFrame:
     """Number the runs that begin where ``new`` is true."""
     return df.withColumn("_island", F.sum(new.cast("int")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _merge(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int) -> DataFrame:
-    before = F.max(end).over(Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+    order = [F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last()]
+    before = F.max(end).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_before", before)
     new = F.col("_before").isNull() | (F.col(start) > F.col("_before") + gap)
-    return _islands(marked, keys, [start, end], new).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    return _islands(marked, keys, order, new).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def merge_ranges(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", gap: int = 0, width: int | None = None) -> DataFrame:
+def merge_ranges(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", gap: int = 0, width: int | None = None, odd: bool = False) -> DataFrame:
     """The union of ranges per key as disjoint ranges in order: overlapping and touching ones merge, and ones whose
-    distance is at most ``gap``.  Empty ranges and nulls are passed over.  With ``width``, ranges that begin in the
-    same cell of that width are merged first, so that a key with very many ranges is not sorted in one task."""
-    rows = df.select(*keys, start, end).filter(F.col(end) > F.col(start))
+    distance is at most ``gap``.  Empty ranges and nulls are passed over; with ``odd`` they merge like others, those
+    without a start last, and one that meets no other is a row.  With ``width``, ranges that begin in the same cell of
+    that width are merged first, so that a key with very many ranges is not sorted in one task."""
+    rows = df.select(*keys, start, end)
+    if not odd:
+        rows = rows.filter(F.col(end) > F.col(start))
     if width:
         rows = _merge(rows.withColumn("_cell", cell_of(F.col(start), width)), [*keys, "_cell"], start, end, gap).drop("_cell")
     return _merge(rows, keys, start, end, gap)

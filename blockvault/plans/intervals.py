@@ -29,7 +29,7 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_MERGED.format(gap=0) + 'SELECT o_custkey, start, "end" FROM m')
 def merge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.merge_ranges(_ranges(spark, sf_dir), ["o_custkey"], width=100 * DAY)
+    return I.merge_ranges(_ranges(spark, sf_dir), ["o_custkey"], width=100 * DAY, odd=True)
 
 
 @query(_MERGED.format(gap=20 * DAY) + 'SELECT o_custkey, start, "end" FROM m')

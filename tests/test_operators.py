@@ -1,5 +1,6 @@
 """Operators against brute force on small random inputs."""
 
+import math
 import random
 
 import pytest
@@ -116,6 +117,21 @@ def test_shown_values_of_large_keys(spark, tmp_path):
     assert spark.range(1).select(V.epoch_timestamp(F.lit("253402300800"))).first()[0] is None
 
 
+@pytest.mark.parametrize("name", ["merge_ranges"])
+def test_odd_orders_merge_as_in_sql(spark, tmp_path, name):
+    """Orders without a date, a key or a customer, and with negative keys, whose ranges are empty."""
+    from datetime import datetime, timedelta
+
+    rng = random.Random(7)
+    date = lambda: None if rng.random() < 0.2 else datetime(1995, 1, 1) + timedelta(days=rng.randrange(900))
+    orders = [(None if rng.random() < 0.1 else rng.randrange(-400, 400), None if k % 40 == 0 else k % 60, date()) for k in range(400)]
+    orders += [(5, 100, None), (6, 100, None), (None, 101, datetime(1996, 1, 1)), (-3, 102, datetime(1996, 1, 1))]
+    # No two ranges of a customer are the same, which the SQL's order would leave open.
+    orders = list({(c, d, None if k is None else int(math.fmod(k, 7))): (k, c, d) for k, c, d in orders}.values())
+    got, want = against_sql(spark, tmp_path, name, orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"))
+    assert got == want and "(None, 100, None)" in got
+
+
 def test_runs_expand_like_single_chunks(spark):
     rng = random.Random(1)
     rows = [(i, (2 << 56) | (rng.randrange(3) << 16) | rng.randrange(8180, 8192), rng.randrange(1, 20), rng.randrange(4)) for i in range(30)]
