@@ -35,7 +35,7 @@ def merge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_MERGED.format(gap=20 * DAY) + 'SELECT o_custkey, start, "end" FROM m')
 def coalesce_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads that lie close enough become one: ranges whose distance is at most 20 days here."""
-    return I.merge_ranges(_ranges(spark, sf_dir), ["o_custkey"], gap=20 * DAY, width=100 * DAY)
+    return I.merge_ranges(_ranges(spark, sf_dir), ["o_custkey"], gap=20 * DAY, width=100 * DAY, odd=True)
 
 
 @query(

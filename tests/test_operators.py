@@ -117,7 +117,7 @@ def test_shown_values_of_large_keys(spark, tmp_path):
     assert spark.range(1).select(V.epoch_timestamp(F.lit("253402300800"))).first()[0] is None
 
 
-@pytest.mark.parametrize("name", ["merge_ranges"])
+@pytest.mark.parametrize("name", ["merge_ranges", "coalesce_reads"])
 def test_odd_orders_merge_as_in_sql(spark, tmp_path, name):
     """Orders without a date, a key or a customer, and with negative keys, whose ranges are empty."""
     from datetime import datetime, timedelta
