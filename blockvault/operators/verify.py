@@ -67,6 +67,7 @@ def decoded(chunks: DataFrame, vault_key: Column | None = None) -> DataFrame:
 
     What cannot be decoded, and encrypted chunks without a key, have null plaintext.
     """
+    bounded_batches(chunks.sparkSession)
     rows = chunks.filter(F.col("chunk").isNotNull()).withColumn("address", pack(F.col("stream"), F.col("bucket"), F.col("chunk")))
     clear = F.col("stored")
     if vault_key is not None:

@@ -41,3 +41,10 @@ def test_texts_of_several_buckets(spark, tmp_path):
     assert sorted(got) == [(1, 0), (1, 1), (2, 0), (3, 0), (4, 0)]
     assert len(got[1, 0]) == 8192 * 4096 and (got[1, 0] + got[1, 1]).rstrip(b"\0") == texts[0][1].encode()
     assert got[2, 0] == got[3, 0] == bytes(4096) and got[4, 0] == b"x" * 4096
+
+
+def test_decoding_is_bounded_too(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    schema = "stream long, bucket long, chunk int, type int, encrypted boolean, stored binary"
+    V.decoded(spark.createDataFrame([(1, 0, 0, K.NONE, False, bytearray(4096))], schema))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
