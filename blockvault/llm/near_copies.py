@@ -1,7 +1,8 @@
-"""Near copies by the similarity of texts: links where the sets of five-word shingles have a Jaccard index of 0.8.
+"""Near copies by SimHash and the similarity of texts: links where the sets of five-word shingles have a Jaccard index of 0.8.
 
-SimHash fingerprints of such texts differ in 3 to 17 of 64 bits, which no table of whole blocks can look up, so
-candidates come from min-hashes: texts that agree in all ``ROWS`` values of one of ``BANDS`` bands meet, which
+Texts whose SimHash fingerprints differ in at most ``DISTANCE`` bits are candidates by SimHash's blocks.  Fingerprints
+of texts of that similarity differ in 3 to 17 of 64 bits, which no table of whole blocks can look up, so those that lie
+farther apart are found by min-hashes: texts that agree in all ``ROWS`` values of one of ``BANDS`` bands meet, which
 two texts of similarity s do with probability 1 - (1 - s**5)**32 (0.999997 at 0.8).  Every candidate is verified
 by its two whole sets.  A band's key with few members gives all their pairs.  One with many gives each member's
 pairs with its next neighbours and with the members nearest to the majority of the fingerprints, which joins most of
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 from .simhash import components, fingerprint
+from .simhash import links as simhash_links
 
 WORDS = 5
+#: Bits in which fingerprints of candidates by SimHash may differ.
+DISTANCE = 4
 BANDS, ROWS = 32, 5
 #: Pairs of a key's members that lie at most so far apart are candidates; a key with more members has hubs too.
 FEW = 8
@@ -108,6 +112,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(*held)
 
 
+def _alike(vertices: DataFrame) -> DataFrame:
+    """Candidates (a, b) of (mark, fp) by SimHash: sets of one fingerprint with its first, and the first ones of fingerprints
+    that differ in at most ``DISTANCE`` bits, as a forest."""
+    first = cut(vertices.groupBy("fp").agg(F.min("mark").alias("vertex")))
+    same = vertices.join(first, "fp").filter("mark > vertex").select(F.col("vertex").alias("a"), F.col("mark").alias("b"))
+    return same.union(simhash_links(first, DISTANCE).select(F.col("dst").alias("a"), F.col("src").alias("b")))
+
+
 def _compared(group: pd.DataFrame) -> pd.DataFrame:
     """Links (a, b) that join the components of the members of one or two blocks of a key: a forest, not all links."""
     marks, block = group["mark"].to_numpy(), group["block"].to_numpy()
@@ -182,7 +194,9 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vertices = cut(rows.groupBy("mark").agg(F.min("name").alias("vertex"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     ids = vertices.select("mark", "vertex")
     keys = vertices.filter("size > 0").select(F.explode("bands").alias("key"), "mark", "size", "fp")
-    found = cut(keys.repartition("key").sortWithinPartitions("key", "mark").mapInArrow(_candidates, "a long, b long, key long").distinct())
+    alike = _alike(vertices.filter("size > 0").select("mark", "fp")).select("a", "b", F.lit(None).cast("long").alias("key"))
+    found = keys.repartition("key").sortWithinPartitions("key", "mark").mapInArrow(_candidates, "a long, b long, key long")
+    found = cut(found.union(alike).distinct())
     pairs, members = found.filter("key IS NULL").select("a", "b"), found.filter("key IS NOT NULL").select("key", F.col("a").alias("mark"))
 
     met = found.select(F.col("a").alias("mark"), F.col("key").isNotNull().alias("large")).union(pairs.select("b", F.lit(False))).groupBy("mark").agg(F.max("large").alias("large"))

@@ -35,7 +35,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: similarity 0.8 of five-word shingles."""
+    """One document, that of the smallest id, of each group of near copies: by SimHash, and by min-hashes beyond its
+    distance, both verified by the similarity 0.8 of five-word shingles."""
     found = near_copies.near_components(docs)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")

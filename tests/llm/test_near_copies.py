@@ -87,5 +87,18 @@ def test_links_within_a_crowd_of_similar_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in N.near_components(frame(spark, rows)).collect()} == want
 
 
+def test_simhash_finds_copies_by_itself(spark, monkeypatch):
+    """Without min-hashes, the links within SimHash's distance are there, and no others."""
+    monkeypatch.setattr(N, "_candidates", lambda batches: iter(()))
+    rows = copies()
+    text = {i: t for i, t, _ in rows}
+    prints = {i: N.fingerprint(t, N.WORDS) for i, t in text.items()}
+    linked = {(a, b) for a, b in combinations(sorted(text), 2) if near(text[a], text[b]) and (prints[a] ^ prints[b]).bit_count() <= N.DISTANCE}
+    got = {r["doc_id"]: r["component_id"] for r in N.near_components(frame(spark, rows)).collect()}
+    whole = components(sorted(text), lambda a, b: (min(a, b), max(a, b)) in linked)
+    assert sum(i != c for i, c in got.items()) > 5
+    assert all(whole[i] == whole[c] for i, c in got.items())
+
+
 def test_empty_table(spark):
     assert N.near_components(frame(spark, [])).count() == 0
