@@ -44,6 +44,23 @@ def test_every_chunk_is_stored_and_marked(spark, sf_dir, monkeypatch):
     assert seen["marks"] == chunks - sum(r["doc_id"] % 89 == 0 and r["doc_id"] % 97 != 0 for r in docs)
 
 
+def test_bucket_damage_tells_what_is_found(spark, monkeypatch):
+    """No row of bucket_damage stands in for a check: what cannot be repaired is not told as repaired, no other failure as
+    a missing header, and later buckets are checked too."""
+    from blockvault.functions import codec as K
+    from blockvault.plans import store
+
+    good = bytearray(K.build_bucket([(K.NONE, b"x" * K.CHUNK_BYTES)] * 3))
+    broken = lambda at: good[:at] + bytes([good[at] ^ 1]) + good[at + 1 :]
+    files = [(55, 0, broken(len(good) - 1)), (110, 0, good), (77, 0, good), (7, 0, good), (1, 0, broken(20)), (2, 0, good), (2, 1, broken(K.DATA_AT)), (3, 0, good[:-1]), (5, 1, good)]
+    rows = spark.createDataFrame([(f"{k}/{b}", k, b, bytearray(x)) for k, b, x in files], "path string, stream long, bucket long, content binary")
+    monkeypatch.setattr(store, "_buckets", lambda *_: rows)
+    assert sorted(map(tuple, store.bucket_damage(spark, "").collect())) == sorted([
+        (55, "bucket", "CORRUPT", "size store checksum"), (55, "bucket", "CORRUPT", "no header"), (110, "bucket", "REPAIRED", "size store repaired"), (110, "bucket", "CORRUPT", "no header"),
+        (77, "bucket", "CORRUPT", "no header"), (7, "chunk", "CORRUPT", "chunk 0"), (1, "bucket", "CORRUPT", "header checksum"), (2, "chunk", "CORRUPT", "chunk 0"), (3, "bucket", "CORRUPT", "bucket size"),
+    ])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
