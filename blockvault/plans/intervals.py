@@ -23,7 +23,8 @@ m AS (SELECT o_custkey, min(start) AS start, max("end") AS "end" FROM n GROUP BY
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    # Fractions of a second are rounded, halves to even, as the SQL's cast does.
+    at = F.rint(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000).cast("bigint")
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", at.alias("start"), (at + 864000 * (F.col("o_orderkey") % 7 + 1)).alias("end"))
 
 

@@ -132,6 +132,35 @@ def test_odd_orders_merge_as_in_sql(spark, tmp_path, name):
     assert got == want and "(None, 100, None)" in got
 
 
+@pytest.mark.parametrize("name", ["coalesce_reads"])
+def test_orders_within_a_second_merge_as_in_sql(spark, tmp_path, name):
+    """Times with fractions of a second, halves among them; each customer has one order or two that meet or just do not."""
+    from datetime import datetime, timedelta
+
+    ten, gap = timedelta(days=10), timedelta(days=20 if name == "coalesce_reads" else 0)
+    first = [datetime(year, 1, 1, 0, 0, s, micros) for year in (1960, 1995) for s in (0, 1) for micros in (0, 1, 499_999, 500_000, 500_001, 999_999)]
+    orders = [(0, k, t) for k, t in enumerate(first)]
+    orders += [(0, k, t + ten + gap + timedelta(microseconds=d)) for k, (t, d) in enumerate(zip(first, [0, 400_000, 500_000, 700_000] * 6, strict=True)) if k % 3]
+    got, want = against_sql(spark, tmp_path, name, orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"))
+    assert got == want and len(first) < len(want) < len(orders)
+
+
+@pytest.mark.parametrize("name", ["coalesce_reads"])
+def test_same_ranges_merge_in_any_order(spark, tmp_path, monkeypatch, name):
+    """Many orders of a customer with the same range: as the SQL whose two windows order them alike, by their keys."""
+    from datetime import datetime, timedelta
+
+    from blockvault import queries as Q
+
+    rng = random.Random(11)
+    orders = [(k, k % 9, datetime(1995, 1, 1) + timedelta(days=15 * rng.randrange(150))) for k in range(2000)]
+    sql = Q.oracle_sql()
+    alike = sql[name].replace('ORDER BY start, "end" ROWS', 'ORDER BY start, "end", o_orderkey ROWS')
+    monkeypatch.setattr(Q, "oracle_sql", lambda: sql | {name: alike})
+    got, want = against_sql(spark, tmp_path, name, orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"))
+    assert got == want and alike.count(", o_orderkey ROWS") == 2 and len({(c, d, k % 7) for k, c, d in orders}) < len(orders)
+
+
 def test_runs_expand_like_single_chunks(spark):
     rng = random.Random(1)
     rows = [(i, (2 << 56) | (rng.randrange(3) << 16) | rng.randrange(8180, 8192), rng.randrange(1, 20), rng.randrange(4)) for i in range(30)]
